@@ -10,7 +10,9 @@ from importlib import import_module
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``SQL``.
 MODULES = {
+    "op6_byte_bpe": "bpe",
     "op7_quality_rules": "quality",
+    "op9_simhash": "simhash",
 }
 
 
