@@ -11,6 +11,9 @@ from importlib import import_module
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``SQL``.
 MODULES = {
     "op1_language_id": "language",
+    "op3_embedding_dedup": "embeddings",
+    "op4_warc": "warc",
+    "op5_mixing": "mixing",
     "op6_byte_bpe": "bpe",
     "op7_quality_rules": "quality",
     "op8_toxicity": "toxicity",
