@@ -11,6 +11,7 @@ from importlib import import_module
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``SQL``.
 MODULES = {
     "op1_language_id": "language",
+    "op2_secret_scan": "secrets",
     "op3_embedding_dedup": "embeddings",
     "op4_warc": "warc",
     "op5_mixing": "mixing",
@@ -18,6 +19,7 @@ MODULES = {
     "op7_quality_rules": "quality",
     "op8_toxicity": "toxicity",
     "op9_simhash": "simhash",
+    "op10_chat_quotes": "chat",
 }
 
 
