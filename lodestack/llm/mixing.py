@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm.rows import ROW, packed, unpacked
 from lodestack.plans.storage import Scratch
 
 SEED = "lodestack-mix"
@@ -63,7 +64,8 @@ def repetition_rates(sizes: DataFrame, weights: dict[str, float] | None = None,
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: str = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """The mixture: every document as often as drawn, in the columns of
-    ``docs`` plus ``copy`` (1, 2, ...) and ``shuffle_key``.
+    ``docs`` plus ``copy`` (1, 2, ...) and ``shuffle_key``, which replace
+    columns of those names.
 
     Rows lie in random partitions, ordered by ``shuffle_key`` in each. Rows of
     one doc_id, a null one included, are drawn alike; an empty table gives an
@@ -73,12 +75,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     # Written first: Spark then knows the size and broadcasts the rates only if they are few.
     rates = Scratch(docs.sparkSession, "mixing").table(repetition_rates(sizes, weights, budget, temperature), "rates")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = _draw(F.lit(seed), name) / F.lit(float(1 << _BITS))
-    out = docs.withColumn("_src", source_name()).join(rates.withColumnRenamed("src", "_src"), "_src")
+    u = _draw(F.lit(seed), F.col("_name")) / F.lit(float(1 << _BITS))
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    out = packed(docs, source_name().alias("_src"), name.alias("_name"), without=("copy", "shuffle_key")).join(rates.withColumnRenamed("src", "_src"), "_src")
     out = out.withColumn("_u", u).withColumn("_n", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
-    out = out.filter("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    out = out.withColumn("shuffle_key", _draw(F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = out.filter("_n > 0").select(ROW, "_name", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    key = _draw(F.lit(seed), F.lit("order"), F.col("_name"), F.col("copy").cast("string"))
+    return unpacked(out, names, copy=F.col("copy"), shuffle_key=key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.rows import ROW, packed, unpacked
 from lodestack.plans.storage import Scratch
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -57,19 +58,20 @@ def document_key() -> list[Column]:
     return [F.col("doc_id").alias("_id"), F.xxhash64("text", "source").alias("_tx")]
 
 
-def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """Every row with the columns of STATS and ``_lines``, an array of
-    (h, chars) of its non-blank lines in order.
+def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits(), without: tuple[str, ...] = ()) -> DataFrame:
+    """(_row, _id, _tx, _host, STATS, _lines) of every row: the row itself less
+    ``without``, its key and host, its statistics, and (h, chars) of its
+    non-blank lines in order.
 
     A null text has no word and no line, so every count is 0 and it fails.
-    Other columns pass through; those named like a statistic are replaced.
+    Columns named like a statistic are replaced.
 
     Words inside repeated 3-word windows: each window becomes a hash packed
     with its position, one sort of longs brings equal hashes together, and
     neighbours of equal hash are compared word by word. Texts of more than
     2^24 words skip the hash and sort the windows themselves.
     """
-    out = docs.select(*[c for c in docs.columns if c not in STATS])
+    out = packed(docs, F.col("text"), *document_key(), F.coalesce("source", F.lit("")).alias("_host"), without=(*STATS, *without))
     # Every array used twice is a column of its own: Catalyst then computes it once.
     out = out.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     flat = F.col("_text")
@@ -81,8 +83,8 @@ def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits()) ->
     out = out.withColumn("_w", F.when(plain, F.split("_flat", " ")).otherwise(F.filter(F.split("_flat", " +"), lambda w: w != "")))
     out = out.withColumn("n_words", F.size("_w").cast("long"))
     out = out.withColumn("_raw", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    packed = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).bitwiseAND(F.lit(~_POSITION_MASK)).bitwiseOR(i.cast("long")))
-    out = out.withColumn("_p", F.when(F.col("n_words") <= _POSITION_MASK, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
+    windowed = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).bitwiseAND(F.lit(~_POSITION_MASK)).bitwiseOR(i.cast("long")))
+    out = out.withColumn("_p", F.when(F.col("n_words") <= _POSITION_MASK, F.sort_array(windowed)).otherwise(F.array().cast("array<bigint>")))
     word = lambda p, k: F.get(F.col("_w"), (p.bitwiseAND(F.lit(_POSITION_MASK)) + k).cast("int"))
     same = lambda a, b: (F.shiftright(a, _POSITION_BITS) == F.shiftright(b, _POSITION_BITS)) & (word(a, 0) == word(b, 0)) & (word(a, 1) == word(b, 1)) & (word(a, 2) == word(b, 2))
     # An `or` with a null side is null unless the other side holds, and filter takes null as false.
@@ -104,7 +106,7 @@ def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits()) ->
         }
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_text", "_flat", "_w", "_raw", "_p", "_s", "_at")
+    return out.withColumn("base_failed", failed).select(ROW, "_id", "_tx", "_host", *STATS, "_lines")
 
 
 def frequent_lines(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
@@ -138,14 +140,13 @@ def line_verdicts(stats: DataFrame, limits: QualityLimits = QualityLimits()) ->
     return per.select("_id", "_tx", F.col("_set.h").alias("_gone"), (100 * lost > limits.max_removed_percent * F.col("_total")).alias("_depleted"))
 
 
-def _judged(docs: DataFrame, limits: QualityLimits, columns: list[str]) -> DataFrame:
-    """``columns`` of every row with its statistics, key and verdict columns.
+def _judged(docs: DataFrame, limits: QualityLimits, without: tuple[str, ...]) -> DataFrame:
+    """Every row (_row, less ``without``) with its statistics, key and verdict.
 
     Texts are parsed once: statistics and line hashes go to a scratch table,
     which the two passes over lines then read.
     """
-    rows = document_stats(docs, limits).select(*columns, *STATS, *document_key(), F.coalesce("source", F.lit("")).alias("_host"), "_lines")
-    rows = Scratch(docs.sparkSession, "quality").table(rows, "stats")
+    rows = Scratch(docs.sparkSession, "quality").table(document_stats(docs, limits, without), "stats")
     found = line_verdicts(rows, limits).withColumnsRenamed({"_id": "_vid", "_tx": "_vtx"})
     on = F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_tx") == F.col("_vtx"))
     out = rows.drop("_host", "_lines").join(found, on, "left").drop("_vid", "_vtx")
@@ -158,25 +159,26 @@ def judge(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame
 
     Needs doc_id, text and source, each of which may be null. An empty table
     gives an empty result; rows equal in doc_id and text are one document and
-    get the same verdict; other columns pass through.
+    get the same verdict; other columns pass through, and those named like a
+    result are replaced.
     """
-    columns = [c for c in docs.columns if c != "text" and c not in [*STATS, "kept"]]
-    return _judged(docs, limits, columns).drop("_id", "_tx", "_gone", "_depleted")
+    names = [c for c in docs.columns if c not in ("text", *STATS, "kept")]
+    return unpacked(_judged(docs, limits, ("text", "kept")), names, **{c: F.col(c) for c in (*STATS, "kept")})
 
 
 def clean(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """The kept documents without their boilerplate lines, in the columns of
     ``docs``; ``n_chars`` follows the text where it exists. Documents without
     such a line keep their text byte for byte."""
-    found = _judged(docs, limits, []).filter(~F.col("kept") | F.col("_gone").isNotNull()).select("_id", "_tx", "_gone", "kept").dropDuplicates(["_id", "_tx"])
-    keyed = docs.withColumns(dict(zip(("_did", "_dtx"), document_key())))
+    found = _judged(docs, limits, tuple(docs.columns)).filter(~F.col("kept") | F.col("_gone").isNotNull()).select("_id", "_tx", "_gone", "kept").dropDuplicates(["_id", "_tx"])
+    keyed = packed(docs, F.col("text"), *[c.alias(n) for c, n in zip(document_key(), ("_did", "_dtx"))])
     out = keyed.join(found, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dtx") == F.col("_tx")), "left")
     out = out.filter(F.coalesce("kept", F.lit(True)))
     stays = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", _long_hash(normalised(x)))), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stays))
+    changed = {"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stays)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col(f"{ROW}.n_chars")).otherwise(F.length(stays).cast("long"))
+    return unpacked(out, docs.columns, **changed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.rows import ROW, packed, unpacked
+
 _KEY = "A-Za-z0-9_+/=-"
 #: A maximal run of 16 or more key characters with a digit among them.
 CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z_+/=-]*[0-9])[{_KEY}]{{16,}}+"
@@ -151,15 +153,15 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     where it exists. Documents without a secret keep their text, and no row
     goes."""
     found = scan(docs, model, path, threshold).filter("secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_tx")).agg(F.collect_set("candidate").alias("_secrets"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    out = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tx")), "left")
+    keyed = packed(docs, F.col("text"), F.col("doc_id").alias("_did"), F.xxhash64("text").alias("_dtx"))
+    out = keyed.join(found, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dtx") == F.col("_tx")), "left")
     pieces, own = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     shown = F.concat(F.transform(own, lambda x: F.when(F.array_contains("_secrets", x), F.lit(MASK)).otherwise(x)), F.array(F.lit("")))
     clean = F.array_join(F.zip_with(pieces, shown, lambda a, b: F.concat(a, b)), "")
-    out = out.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean))
+    changed = {"text": F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_secrets").isNull(), F.col(f"{ROW}.n_chars")).otherwise(F.length(clean).cast("long"))
+    return unpacked(out, docs.columns, **changed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
+from lodestack.llm.rows import packed, unpacked
 from lodestack.plans.storage import Scratch
 
 DISTANCE = 3
@@ -198,8 +199,9 @@ def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
     no component and stay."""
     found = near_duplicates(docs, width)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_id"]).drop("_id").dropDuplicates(["doc_id"])
-    return out.unionAll(docs.filter("doc_id is null"))
+    rows = packed(docs, F.col("doc_id").alias("_did"))
+    one = rows.join(kept, F.col("_did") == F.col("_id")).dropDuplicates(["_did"])
+    return unpacked(one, docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
