@@ -1,0 +1,46 @@
+import re
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from lodestack.llm import secrets
+
+KEY = "a94f8fe5ccb19ba61c4c0873d391e987982fbbd3"
+SCHEMA = "doc_id long, text string, source string, n_chars long"
+
+
+def test_held_out_findings(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.with_features(secrets.labelled_findings(spark, 1500, 77)))
+    found = model.transform(rows).agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("a"), F.avg("label").alias("b")).first()
+    assert found.a > 0.97 and 0.4 < found.b < 0.6
+
+
+def test_scan_and_redact(spark):
+    text = f'lead token = "{KEY}" and commit {KEY[::-1]} then é 4122859641637651 end'
+    rows = [(1, text, "s", len(text)), (1, text, "s", len(text)), (2, None, None, None), (3, "", "s", 0), (4, "no keys here at all", "s", 19), (None, f'api_key: "{KEY}"', "s", 3), (5, f'password="{KEY}"' + " filler" * 30_000, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash")).withColumn("_secrets", F.lit("clash")).withColumn("candidate", F.lit(1))
+    found = secrets.scan(docs).collect()
+    one = sorted((r for r in found if r.doc_id == 1), key=lambda r: r.start)
+    assert [(r.start, r.length, r.secret) for r in one] == [(text.index(KEY), 40, True), (text.index(KEY[::-1]), 40, False), (text.index("4122"), 16, False)]
+    assert all(re.fullmatch(secrets.CANDIDATE.replace("}+", "}"), r.candidate) for r in found)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    by = {r.doc_id: r for r in out.collect()}
+    clean = text.replace(KEY, secrets.MASK, 1)
+    assert by[1].text == clean and by[1].n_chars == len(clean)
+    assert by[4].text == "no keys here at all" and by[2].text is None and by[3].text == ""
+    assert KEY not in by[None].text and KEY not in by[5].text and by[5].text.endswith(" filler")
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_the_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    held = {r.doc_id for r in docs.collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r.text)}
+    found = {r.doc_id for r in secrets.scan(docs).filter("secret").collect()}
+    assert found == held
+
+
+def test_no_python_in_the_plan(spark, small):
+    plan = secrets.query(spark, small)._jdf.queryExecution().toString()
+    assert not re.search("PythonUDF|Pandas|ArrowEval", plan)
