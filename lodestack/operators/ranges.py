@@ -19,7 +19,7 @@ def read(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     Ranges past the end are cut; a negative offset or length is refused and
     covers nothing.
     """
-    asked = requests.filter("offset >= 0 and length >= 0").select("file", "offset", "length")
+    asked = requests.filter("offset >= 0 and length > 0").select("file", "offset", "length")
     hit = chunks.join(asked, "file").filter("start < offset + length and start + size > offset")
     skip = F.greatest(F.col("offset") - F.col("start"), F.lit(0))
     take = F.least(F.col("start") + F.col("size"), F.col("offset") + F.col("length")) - F.greatest("start", "offset")
