@@ -129,3 +129,31 @@ def render(formatted: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+SQL = r"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+lv AS (SELECT conv_id, turn, k, length(regexp_replace(regexp_extract(raw, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(raw, '^[ \t]*((?:>[ \t]?)+)', '') AS t
+       FROM (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS raw FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS l FROM m))),
+rn AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, turn ORDER BY k) AS run
+       FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY k) THEN 1 ELSE 0 END AS b FROM lv)),
+runs AS (SELECT conv_id, turn, run, min(level) AS level, string_agg(t, chr(10) ORDER BY k) AS t FROM rn GROUP BY conv_id, turn, run),
+own AS (SELECT conv_id, turn, trim(coalesce(string_agg(t, chr(10) ORDER BY run) FILTER (level = 0), ''), chr(32) || chr(9) || chr(13) || chr(10)) AS own,
+               count(*) FILTER (level > 0 AND trim(t) <> '') AS n_quotes, max(level) AS depth FROM runs GROUP BY conv_id, turn),
+quotes AS (SELECT conv_id, turn, run AS place, level, t FROM runs WHERE level > 0 AND trim(t) <> ''),
+asked AS (SELECT * FROM (SELECT conv_id, turn, place, level, grain, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS n
+          FROM (SELECT conv_id, turn, place, level, 0 AS grain, t AS p FROM quotes UNION ALL SELECT conv_id, turn, place, level, 1, unnest(string_split(t, chr(10))) FROM quotes)) WHERE length(n) >= 12),
+said AS (SELECT DISTINCT conv_id, turn, n FROM (SELECT conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS n
+         FROM (SELECT conv_id, turn, own AS p FROM own UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) FROM own
+               UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM own)) WHERE length(n) >= 12 AND n IN (SELECT n FROM asked)),
+here AS (SELECT a.conv_id, a.turn, a.place, a.level, a.grain, a.n, max(s.turn) AS here FROM asked a LEFT JOIN said s ON s.n = a.n AND s.conv_id = a.conv_id AND s.turn < a.turn GROUP BY ALL),
+first AS (SELECT n, min({'c': conv_id, 't': turn}) AS f FROM said GROUP BY n),
+found AS (SELECT conv_id, turn, place, level, grain, CASE WHEN here IS NOT NULL THEN {'c': conv_id, 't': here} WHEN f.c < conv_id OR (f.c = conv_id AND f.t < turn) THEN f END AS goal FROM here LEFT JOIN first USING (n)),
+best AS (SELECT conv_id, turn, arg_min(goal, {'a': level, 'b': grain, 'c': -place, 'd': goal.c, 'e': goal.t}) AS goal, count(DISTINCT place) AS n_linked FROM found WHERE goal IS NOT NULL GROUP BY conv_id, turn),
+r AS (SELECT m.conv_id, m.turn, role, own, n_quotes, depth, n_linked, goal, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn) AS before
+      FROM m JOIN own USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn)),
+p AS (SELECT *, CASE WHEN goal IS NOT NULL THEN goal.c WHEN before IS NOT NULL THEN conv_id END AS parent_conv, coalesce(goal.t, before) AS parent_turn FROM r)
+SELECT conv_id, turn, role, own AS text, CAST(n_quotes AS INTEGER) AS n_quotes, CAST(coalesce(n_linked, 0) AS INTEGER) AS n_linked, CAST(depth AS INTEGER) AS quote_depth, parent_conv, parent_turn,
+       last_value(CASE WHEN before IS NULL OR parent_conv <> conv_id OR parent_turn <> before THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS thread
+FROM p
+"""

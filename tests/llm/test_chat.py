@@ -102,3 +102,21 @@ def test_render_table_and_limits(spark, small):
     assert chat.format_chats(long).first().n_quotes == 8000
     text = chat.render(chat.format_chats(spark.createDataFrame(ROWS[:3], SCHEMA))).first().chat
     assert text.startswith("<|user|>\nHello there") and text.endswith("And in place?")
+
+
+def test_matches_sql(spark, small, same):
+    assert same(chat.query(spark, small), chat.SQL) == 87
+
+
+def test_matches_sql_with_quotes(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = sorted({r for r in ROWS if r[0] is not None}, key=str)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    got = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    rel = con.execute(chat.SQL)
+    order = [[d[0] for d in rel.description].index(c) for c in got.columns]
+    want = sorted(str([r[i] for i in order]) for r in rel.fetchall())
+    assert sorted(str(list(r)) for r in got.collect()) == want
