@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,12 @@ from lodestack.functions.naming import metric_number
 
 def snapshot(catalog: DataFrame, keepset: DataFrame, envs: DataFrame, tombstones: DataFrame, queue: DataFrame) -> DataFrame:
     """(metric, value) of the corpus: sizes, distinct kept names, sharing."""
-    objects = catalog.agg(F.count("*").cast("double").alias("corpus_objects"), F.coalesce(F.sum("size"), F.lit(0)).cast("double").alias("corpus_bytes"))
-    kept = keepset.agg(F.countDistinct("name").cast("double").alias("live_objects"), F.count("*").cast("double").alias("kept_references"))
-    one = objects.join(F.broadcast(kept)).join(F.broadcast(envs.agg(F.count("*").cast("double").alias("environments")))).join(F.broadcast(tombstones.agg(F.count("*").cast("double").alias("tombstones")))).join(F.broadcast(queue.agg(F.count("*").cast("double").alias("queue_depth"))))
-    one = one.withColumn("references_per_object", F.when(F.col("live_objects") == 0, 0.0).otherwise(F.round(F.col("kept_references") / F.col("live_objects"), 6)))
-    names = one.columns
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select("m.*")
+    objects = catalog.agg(F.count("*").alias("corpus_objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("corpus_bytes"))
+    kept = keepset.agg(F.countDistinct("name").alias("live_objects"), F.count("*").alias("kept_references"))
+    kept = kept.withColumn("references_per_object", F.when(F.col("live_objects") == 0, 0.0).otherwise(F.round(F.col("kept_references") / F.col("live_objects"), 6)))
+    counts = [rows.agg(F.count("*").alias(name)) for name, rows in (("environments", envs), ("tombstones", tombstones), ("queue_depth", queue))]
+    parts = [one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in one.columns])).alias("m")).select("m.*") for one in (objects, kept, *counts)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def render(rows: DataFrame, prefix: str = "lodestack_") -> DataFrame:

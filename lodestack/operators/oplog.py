@@ -131,10 +131,11 @@ def change_prefix(changes: DataFrame, asked: DataFrame) -> DataFrame:
     """Change ids asked for by prefix: ``change`` of an exact match, else of the
     only match; ``n_matches`` tells nothing from too many (J13).
 
-    Every prefix length that is asked for becomes an equality, so there is no
-    comparison of all with all.
+    Every beginning of a change id is a key (ids have a fixed, small length),
+    and only those that are asked for stay, so there is no comparison of all
+    with all.
     """
-    lengths = asked.select(F.length("prefix").alias("n")).distinct()
-    cut = changes.select("env", "change").distinct().join(F.broadcast(lengths)).select("env", F.col("change"), F.substring("change", F.lit(1), F.col("n")).alias("prefix")).filter(F.length("prefix") > 0).distinct()
+    starts = F.transform(F.sequence(F.lit(1), F.length("change")), lambda n: F.substring(F.col("change"), F.lit(1), n))
+    cut = changes.select("env", "change").distinct().filter(F.length("change") > 0).select("env", "change", F.explode(starts).alias("prefix")).join(asked, ["env", "prefix"], "left_semi")
     found = asked.join(cut, ["env", "prefix"], "left").groupBy("env", "prefix").agg(F.count("change").alias("n_matches"), F.max(F.when(F.col("change") == F.col("prefix"), F.col("change"))).alias("exact"), F.min("change").alias("one"))
     return found.select("env", "prefix", "n_matches", F.coalesce("exact", F.when(F.col("n_matches") == 1, F.col("one"))).alias("change"))

@@ -31,10 +31,10 @@ def page(rows: DataFrame, key: str, after: object | None, limit: int) -> DataFra
     it, null unless one more row exists (O04, S14)."""
     rest = rows if after is None else rows.filter(F.col(key) > F.lit(after))
     some = rest.orderBy(key).limit(limit + 1)
-    shown = some.orderBy(key).limit(limit)
-    end = some.agg(F.count("*").alias("_n"))
-    last = shown.agg(F.max(key).alias("_last"))
-    return shown.join(F.broadcast(end)).join(F.broadcast(last)).withColumn("next_cursor", F.when(F.col("_n") > limit, F.col("_last"))).drop("_n", "_last")
+    whole = Window.partitionBy(F.lit(0))  # limit + 1 rows at most
+    some = some.withColumn("_k", F.row_number().over(whole.orderBy(key))).withColumn("_n", F.count("*").over(whole))
+    last = F.max(F.when(F.col("_k") <= limit, F.col(key))).over(whole)
+    return some.withColumn("next_cursor", F.when(F.col("_n") > limit, last)).filter(F.col("_k") <= limit).drop("_k", "_n")
 
 
 def scan(items: DataFrame, pk: object, prefix: str, after: str | None = None, limit: int | None = None, descending: bool = False) -> DataFrame:

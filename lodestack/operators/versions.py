@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,5 +53,5 @@ def first_page(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     One row more than asked is fetched: a top-k, not a sort of everything.
     """
     page = rows.orderBy(*order).limit(limit + 1)
-    n = page.agg(F.count("*").alias("_n"))
-    return page.orderBy(*order).limit(limit).join(F.broadcast(n)).withColumn("truncated", F.col("_n") > limit).drop("_n")
+    page = page.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > limit)  # limit + 1 rows at most
+    return page.orderBy(*order).limit(limit)
