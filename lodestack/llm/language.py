@@ -25,7 +25,7 @@ DICTIONARY_BYTES = 112_640
 BLOCK = 2048
 #: The fast strategy with a target length stores literals as they are: what a
 #: dictionary saves is then what it matches.
-_PARAMETERS = dict(window_log=17, hash_log=17, chain_log=16, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
+_PARAMETERS = dict(window_log=17, hash_log=17, chain_log=16, search_log=1, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
 #: Ends each block, so that zstandard never finds it not worth compressing.
 _RUN = b"\x02" * 64
 _LETTER = re.compile(r"[^\W\d_]")

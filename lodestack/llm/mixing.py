@@ -49,10 +49,9 @@ def repetition_rates(sizes: DataFrame, weights: dict[str, float] | None = None,
     else:
         given = sizes.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], T.StructType([T.StructField("src", T.StringType()), T.StructField("w", T.DoubleType())]))
         weighed = sizes.join(given, "src", "left").fillna(0.0, ["w"])
-    total = weighed.agg(F.sum("w").alias("_w"), F.sum("chars").alias("_c"))  # one row
-    rates = weighed.join(F.broadcast(total))
-    aim = F.lit(budget).cast("double") if budget is not None else F.col("_c").cast("double")
-    rates = rates.withColumn("rate", F.when(F.col("chars") == 0, 1.0).when(F.col("_w") == 0, 0.0).otherwise(F.col("w") / F.col("_w") * aim / F.col("chars")))
+    weight, chars = weighed.agg(F.sum("w"), F.sum("chars")).first()  # two numbers
+    aim = F.lit(float(budget if budget is not None else chars or 0))
+    rates = weighed.withColumn("rate", F.when(F.col("chars") == 0, 1.0).otherwise(F.col("w") / F.lit(weight) * aim / F.col("chars") if weight else 0.0))
     # By logarithms, so that a large rate does not underflow; beyond 12 deviations nothing is left.
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     logs = F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k == 0, -F.col("rate")).otherwise(F.ln(F.col("rate") / k)))
