@@ -5,16 +5,22 @@ k-means deals classes to cells; a class also visits cells whose centre is
 nearly as close as its own. Cosines are products of blocks of bounded size,
 and what a block gives back is a count for each row and links that join what
 is connected, never all pairs.
+
+A large group of near copies lies in one cell, close around its centre. Vectors
+within half the threshold's angle of a centre are all linked with each other
+without a product, and only vectors within one and a half times that angle can
+link with them: such a group costs as its size, not as its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
@@ -32,6 +38,8 @@ class CellPlan:
         dimensions by rarely more than a third of that.
     cell_rows, block_rows: rows aimed at in a cell, and most in a block.
     fit_rows, most_cells, rounds: bounds of the k-means fit.
+    merged: centres at least this similar become one, so that no group of near
+        copies is dealt over many cells that all visit each other.
     """
 
     threshold: float = 0.95
@@ -41,6 +49,17 @@ class CellPlan:
     fit_rows: int = 20_000
     most_cells: int = 2048
     rounds: int = 12
+    merged: float = 0.9
+
+    @property
+    def tight(self) -> float:
+        """Cosine to a centre from which on two vectors surely link."""
+        return math.cos(math.acos(self.threshold) / 2 - 1e-6)
+
+    @property
+    def middle(self) -> float:
+        """Cosine to a centre below which no vector links with a tight one."""
+        return math.cos(min(1.5 * math.acos(self.threshold) + 1e-6, math.pi))
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -76,80 +95,128 @@ def fit_centres(classes: DataFrame, plan: CellPlan) -> np.ndarray:
     random = np.random.default_rng(7)
     centres = x[random.choice(len(x), cells, replace=False)]
     for _ in range(plan.rounds if cells > 1 else 1):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        norms = np.linalg.norm(sums, axis=1)
-        centres = np.where(norms[:, None] > 1e-9, sums / np.maximum(norms, 1e-9)[:, None], centres)
-    return centres
+        centres = _moved(x, centres)
+    keep: list[int] = []
+    for i in range(len(centres)):
+        if not keep or (centres[keep] @ centres[i]).max() < plan.merged:
+            keep.append(i)
+    return _moved(x, centres[keep])
+
+
+def _moved(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centres moved to the mean direction of their vectors; empty ones stay."""
+    own = (x @ centres.T).argmax(axis=1)
+    sums = np.zeros_like(centres)
+    np.add.at(sums, own, x)
+    norms = np.linalg.norm(sums, axis=1)
+    return np.where(norms[:, None] > 1e-9, sums / np.maximum(norms, 1e-9)[:, None], centres)
 
 
 def assign(classes: DataFrame, centres: np.ndarray, plan: CellPlan) -> DataFrame:
-    """(rep, n, v, home, visits): a class's cell and the cells it also visits.
+    """(rep, n, v, home, near, visits, visits_near): a class's cell, its cosine
+    to the centre, and the same of the cells it also visits.
 
     ``home`` is -1 less the vector's length if that is not the centres' length,
     so that vectors of one other length share one cell.
     """
     sent = classes.sparkSession.sparkContext.broadcast(centres)
+    fields = [("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("home", pa.int32()), ("near", pa.float64()), ("visits", pa.list_(pa.int32())), ("visits_near", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = sent.value
         for batch in batches:
-            home, visits = [], []
+            home, near, visits, visits_near = [], [], [], []
             for start in range(0, batch.num_rows, 4096):
                 rows = batch.column(2).slice(start, 4096).to_pylist()
                 same = [i for i, v in enumerate(rows) if centres.size and len(v) == centres.shape[1]]
-                near, others = np.array([-1 - len(v) for v in rows]), [[] for _ in rows]
+                cell, best = np.array([-1 - len(v) for v in rows]), np.zeros(len(rows))
+                others: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
+                sims = list(others)
                 if same:
                     s = np.array([rows[i] for i in same]) @ centres.T
-                    near[same] = own = s.argmax(axis=1)
-                    s[np.arange(len(s)), own] -= 9
-                    for i, row, best in zip(same, s, s[np.arange(len(s)), own] + 9):
-                        others[i] = np.flatnonzero(row >= best - plan.slack).tolist()
-                home += near.tolist()
-                visits += others
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["rep", "n", "v", "home", "visits"])
+                    cell[same] = own = s.argmax(axis=1)
+                    best[same] = top = s[np.arange(len(s)), own]
+                    s[np.arange(len(s)), own] = -9
+                    for i, row, t in zip(same, s, top):
+                        others[i] = np.flatnonzero(row >= t - plan.slack)
+                        sims[i] = row[others[i]]
+                home += cell.tolist()
+                near += best.tolist()
+                visits += [x.tolist() for x in others]
+                visits_near += [x.tolist() for x in sims]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, (_, t) in zip((home, near, visits, visits_near), fields[3:]))], [f for f, _ in fields])
 
-    return classes.select("rep", "n", "v").mapInArrow(run, "rep long, n long, v array<double>, home int, visits array<int>")
+    return classes.select("rep", "n", "v").mapInArrow(run, "rep long, n long, v array<double>, home int, near double, visits array<int>, visits_near array<double>")
 
 
-def deal(assigned: DataFrame, plan: CellPlan) -> DataFrame:
-    """Rows (cell, i, j, side, rep, n, v, home, visits) of every product of blocks.
+_PRODUCT = "array<struct<kind:int,i:int,j:int,side:int>>"
 
-    A cell's rows are dealt to blocks by a hash. Members meet members of every
-    block once, i <= j; visitors only meet members. ``side`` tells which block
-    of the product a row belongs to.
+
+def deal(assigned: DataFrame, plan: CellPlan) -> DataFrame:
+    """Rows (cell, kind, i, j, side, rep, n, v, home, visits) of every product of blocks.
+
+    A cell's rows are dealt to blocks by a hash: its loose members, its tight
+    members, those members that may link with tight ones, and visitors. Kind 0
+    is loose members with each other, i <= j; kind 1 loose members and
+    visitors; kind 2 tight members and the members in between; kind 3 tight
+    members and the visitors in between. ``side`` tells which block of the
+    product a row belongs to.
     """
-    seats = assigned.select("*", F.explode(F.concat(F.array("home"), "visits")).alias("cell"))
-    blocks = seats.groupBy("cell").agg(F.ceil(F.sum((F.col("cell") == F.col("home")).cast("long")) / plan.block_rows).cast("int").alias("blocks"), F.ceil(F.sum((F.col("cell") != F.col("home")).cast("long")) / plan.block_rows).cast("int").alias("guests"))
-    seats = seats.join(F.broadcast(blocks), "cell").filter("blocks > 0")  # a row for each cell: bounded by most_cells
+    seat = F.concat(F.array(F.struct(F.col("home").alias("cell"), F.col("near").alias("near"))), F.transform("visits", lambda c, i: F.struct(c.alias("cell"), F.get("visits_near", i).alias("near"))))
+    seats = assigned.select("rep", "n", "v", "home", "visits", F.explode(seat).alias("s")).select("*", "s.cell", "s.near")
+    member = F.col("cell") == F.col("home")
+    tight, middle = member & (F.col("near") >= plan.tight), F.col("near") >= plan.middle
+    blocks_of = lambda which: F.ceil(F.sum(which.cast("long")) / plan.block_rows).cast("int")
+    blocks = seats.groupBy("cell").agg(blocks_of(member & ~tight).alias("loose"), blocks_of(tight).alias("tight"), blocks_of(member & ~tight & middle).alias("between"), blocks_of(~member).alias("guests"), blocks_of(~member & middle).alias("between_guests"))
+    seats = seats.join(F.broadcast(blocks), "cell")  # a row for each cell: bounded by most_cells
     spot = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
-    b = spot(F.col("blocks"))
-    up = F.transform(F.sequence(b, F.col("blocks") - 1), lambda j: F.struct(b.alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    down = F.when(b > 0, F.transform(F.sequence(F.lit(0), b - 1), lambda i: F.struct(i.alias("i"), b.alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
-    met = F.when(F.col("guests") > 0, F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda g: F.struct(b.alias("i"), (-1 - g).alias("j"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
-    guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), (-1 - spot(F.col("guests"))).alias("j"), F.lit(1).alias("side")))
-    seat = F.when(F.col("cell") == F.col("home"), F.concat(up, down, met)).otherwise(guest)
-    return seats.select("cell", "rep", "n", "v", "home", "visits", F.explode(seat).alias("p")).select("cell", "p.i", "p.j", "p.side", "rep", "n", "v", "home", "visits")
+    none = F.array().cast(_PRODUCT)
+
+    def products(kind: int, side: int, own: str, other: str) -> Column:
+        """This row's block of ``own`` blocks with every block of ``other`` ones."""
+        mine = spot(F.col(own))
+        pair = lambda k: F.struct(F.lit(kind).alias("kind"), (mine if side == 0 else k).alias("i"), (k if side == 0 else mine).alias("j"), F.lit(side).alias("side"))
+        return F.when(F.col(other) > 0, F.transform(F.sequence(F.lit(0), F.col(other) - 1), pair)).otherwise(none)
+
+    b = spot(F.col("loose"))
+    pair = lambda i, j, side: F.struct(F.lit(0).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    up = F.transform(F.sequence(b, F.col("loose") - 1), lambda j: pair(b, j, 0))
+    down = F.when(b > 0, F.transform(F.sequence(F.lit(0), b - 1), lambda i: pair(i, b, 1))).otherwise(none)
+    loose = F.concat(up, down, products(1, 0, "loose", "guests"), F.when(middle, products(2, 1, "between", "tight")).otherwise(none))
+    bound = F.concat(products(2, 0, "tight", "between"), products(3, 0, "tight", "between_guests"))
+    guest = F.concat(products(1, 1, "guests", "loose"), F.when(middle, products(3, 1, "between_guests", "tight")).otherwise(none))
+    where = F.when(tight, bound).when(member, loose).otherwise(guest)
+    return seats.select("cell", "rep", "n", "v", "home", "visits", F.explode(where).alias("p")).select("cell", "p.kind", "p.i", "p.j", "p.side", "rep", "n", "v", "home", "visits")
+
+
+def tight_links(assigned: DataFrame, plan: CellPlan) -> DataFrame:
+    """(a, b, links) as from ``compare``, of tight members with each other: all
+    of a cell's are linked, so a sum and a least id for each cell say it all."""
+    rows = assigned.filter(F.col("near") >= plan.tight).select("rep", "n", "home")
+    cells = rows.groupBy("home").agg(F.sum("n").alias("all"), F.min("rep").alias("least"))
+    each = rows.join(F.broadcast(cells), "home")  # bounded by most_cells
+    counts = each.select(F.col("rep").alias("a"), F.col("rep").alias("b"), (F.col("all") - F.col("n")).alias("links"))
+    return counts.unionAll(each.filter("rep <> least").select("rep", "least", F.lit(0).cast("long")))
 
 
 def compare(table: pa.Table, threshold: float) -> pa.Table:
     """One product of blocks: (a, b, links): for a = b, how many vectors of
     other classes the class ``a`` links to here; else a link."""
     cell = table.column("cell")[0].as_py()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
+    within = kind == 0 and i == j
     side = table.column("side").to_numpy()
     rep, n, home = (table.column(c).to_numpy() for c in ("rep", "n", "home"))
     v = np.array(table.column("v").to_pylist())
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if i == j:
+    if within:
         right = left
     if not len(left) or not len(right):
         return _result([], [], [])
     hit = v[left] @ v[right].T >= threshold
-    if i == j:
+    if within:
         np.fill_diagonal(hit, False)
-    elif j < 0:
+    elif kind in (1, 3):
         # The pair also meets in the visitor's own cell if the member visits it:
         # it counts where the cell's number is smaller.
         visits = table.column("visits").to_pylist()
@@ -162,9 +229,9 @@ def compare(table: pa.Table, threshold: float) -> pa.Table:
     for rows, sums in ((left, hit @ n[right]), (right, n[left] @ hit)):
         for k in np.flatnonzero(sums):
             counts[rep[rows[k]]] = counts.get(rep[rows[k]], 0) + int(sums[k])
-        if i == j:
+        if within:
             break
-    a, b = _forest(hit, rep[left], rep[right], i == j)
+    a, b = _forest(hit, rep[left], rep[right], within)
     ids = list(counts)
     return _result(ids + a, ids + b, list(counts.values()) + [0] * len(a))
 
@@ -221,8 +288,8 @@ def near_duplicates(rows: DataFrame, plan: CellPlan = CellPlan()) -> DataFrame:
     centres = fit_centres(classes, plan)
     assigned = scratch.table(assign(classes, centres, plan), "cells")
     threshold = plan.threshold
-    found = deal(assigned, plan).groupBy("cell", "i", "j").applyInArrow(lambda t: compare(t, threshold), "a long, b long, links long")
-    found = scratch.table(found, "found")
+    found = deal(assigned, plan).groupBy("cell", "kind", "i", "j").applyInArrow(lambda t: compare(t, threshold), "a long, b long, links long")
+    found = scratch.table(found.unionAll(tight_links(assigned, plan)), "found")
     links = found.filter("a = b").groupBy(F.col("a").alias("_c")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("a <> b").select("a", "b"), scratch)
     named = classes.join(links, classes["rep"] == links["_c"], "left").join(parts, classes["rep"] == parts["node"], "left")
