@@ -4,6 +4,10 @@ Fingerprints of 64 bits that differ in at most three are cut into two segments
 of 32 bits; one of the two then differs in at most one bit. Each segment is
 indexed 32 times with one bit wiped out, so the pair meets in an equality on
 one such variant and is verified on the whole fingerprint.
+
+That is the contract of ``query`` (``near_fingerprints``). ``near_duplicates``
+and ``deduplicate``, which the pipeline uses, ask for a Jaccard similarity of
+five-word shingles and are in ``lodestack.llm.similar``.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.rows import packed, unpacked
+from lodestack.llm.similar import deduplicate, near_duplicates  # noqa: F401
 from lodestack.plans.storage import Scratch
 
 DISTANCE = 3
@@ -171,7 +175,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+def near_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     Needs doc_id and text. Equal fingerprints are one class from the start;
@@ -193,18 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents of ``docs`` without near-duplicates: of each component the
-    document with the smallest doc_id, once. Rows with a null doc_id belong to
-    no component and stay."""
-    found = near_duplicates(docs, width)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = packed(docs, F.col("doc_id").alias("_did"))
-    one = rows.join(kept, F.col("_did") == F.col("_id")).dropDuplicates(["_did"])
-    return unpacked(one, docs.columns).unionAll(docs.filter("doc_id is null"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = near_duplicates(docs)
+    out = near_fingerprints(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
