@@ -19,14 +19,16 @@ _BLANKS = " \t\n\x0b\f\r"
 #: A packed window is 40 bits of hash over 24 bits of position.
 _POSITION_BITS = 24
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
+#: Two documents of n lines that differ in n / 9 of them have a similarity of 0.8.
+OWN_LINES = 9
 
 
 @dataclass(frozen=True)
 class QualityLimits:
     """Limits of the rules.
 
-    max_docs: a line that more than this many documents of one host hold, each
-        with a different remainder, is boilerplate.
+    max_docs: a line that more than this many distinct documents of one host
+        hold is boilerplate.
     min_line_chars: shorter lines are never boilerplate.
     max_removed_percent: a document that loses a larger share of its lines'
         characters with its boilerplate lines is depleted.
@@ -112,20 +114,24 @@ def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits(), wit
 def frequent_lines(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """Boilerplate lines: (_host, h, n_docs, n_rests).
 
-    A line's documents are told apart by the smallest hash among their other
-    lines, so a group of copies, exact or near, counts about once: copies are
-    near-duplicate detection's business, and their text is not boilerplate.
-    A line goes if more than ``max_docs`` remainders hold it and they make up
-    at least half of its documents. The first grouping is by line *and*
-    remainder, which spreads a very common line over all tasks.
+    A line goes if more than ``max_docs`` distinct documents of a host hold it
+    and they make up at least half of all that do. Documents are told apart by
+    all their lines, so exact copies count once, and pages that share a
+    template of many lines count each. Near copies (documents of which under
+    1 / OWN_LINES of the lines are much rarer than the line in question, a
+    Jaccard similarity of lines above 0.8) count as one: they are near-duplicate
+    detection's business, and their text is not boilerplate.
+    Only lines that many rows hold are looked at again; counting them first
+    spreads a very common line over all tasks.
     """
-    per = stats.select("_host", "_lines", F.array_distinct("_lines.h").alias("_hs"))
-    per = per.withColumn("_m1", F.array_min("_hs")).withColumn("_m2", F.array_min(F.filter("_hs", lambda x: x != F.col("_m1"))))
-    wide = F.array_distinct(F.filter("_lines", lambda x: x["chars"] >= limits.min_line_chars))
-    each = per.select("_host", "_m1", "_m2", F.explode(wide).alias("l")).select("_host", F.col("l.h").alias("h"), F.when(F.col("l.h") == F.col("_m1"), F.col("_m2")).otherwise(F.col("_m1")).alias("_rest"))
-    rests = each.groupBy("_host", "h", "_rest").agg(F.count("*").alias("n"))
-    found = rests.groupBy("_host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_rests"))
-    return found.filter((F.col("n_rests") > limits.max_docs) & (2 * F.col("n_rests") >= F.col("n_docs")))
+    per = stats.select("_host", F.array_distinct("_lines").alias("_ls")).withColumns({"_d": F.xxhash64(F.sort_array("_ls.h")), "_n": F.size("_ls")})
+    each = per.select("_host", "_d", "_n", F.explode("_ls").alias("l")).select("_host", "_d", "_n", "l.h", "l.chars")
+    held = each.groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs)
+    one = each.join(held, ["_host", "h"]).groupBy("_host", "_d", "_n").agg(F.collect_set(F.struct("h", "chars", "n")).alias("_f"))
+    own = lambda x: F.col("_n") - F.size(F.filter("_f", lambda y: 2 * y["n"] >= x["n"]))
+    told = F.transform(F.filter("_f", lambda x: x["chars"] >= limits.min_line_chars), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), (OWN_LINES * own(x) >= F.col("_n")).cast("long").alias("own")))
+    lines = one.select("_host", F.explode(told).alias("l")).groupBy("_host", "l.h").agg(F.max("l.n").alias("n_docs"), (F.sum("l.own") + F.max(1 - F.col("l.own"))).alias("n_rests"))
+    return lines.filter((F.col("n_rests") > limits.max_docs) & (2 * F.col("n_rests") >= F.col("n_docs")))
 
 
 def line_verdicts(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:

@@ -62,6 +62,23 @@ def test_a_depleted_document_is_rejected(spark):
     assert kept[0] and not any(found[i] for i in range(30)) and found[50]
 
 
+def _pages(shared, own, n=100):
+    template = [f"template line number {k} of this host" for k in range(shared)]
+    return ["\n".join(template + [" ".join(f"p{i}x{k}y{j}" for j in range(40)) for k in range(own)]) for i in range(n)]
+
+
+def test_a_template_of_several_lines_goes(spark):
+    for shared, own in ((4, 2), (10, 5), (20, 3)):
+        rows = [(i, t, "host") for i, t in enumerate(_pages(shared, own))]
+        assert not any("template" in r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_near_copies_are_not_boilerplate(spark):
+    lines = [" ".join(f"line{k}word{j}" for j in range(12)) for k in range(20)]
+    rows = [(i, "\n".join(f"edited {i} of line" if k == i % 20 else x for k, x in enumerate(lines)), "host") for i in range(60)]
+    assert all(r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_repeated_rows_extra_columns_and_empty_table(spark):
     rows = [(1, " ".join(f"w{k}" for k in range(60)), "s")] * 3
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y")).withColumn("_h", F.lit(1)).withColumn("h", F.lit(1))
