@@ -114,9 +114,9 @@ def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits(), wit
 def frequent_lines(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """Boilerplate lines: (_host, h, n_docs, n_rests).
 
-    A line goes if more than ``max_docs`` distinct documents of a host hold it
-    and they make up at least half of all that do. Documents are told apart by
-    all their lines, so exact copies count once, and pages that share a
+    A line goes if more than ``max_docs`` distinct documents of a host hold it,
+    however many copies stand beside them. Documents are told apart by all their
+    lines, so exact copies count once, and pages that share a
     template of many lines count each. Near copies (documents of which under
     1 / OWN_LINES of the lines are much rarer than the line in question, a
     Jaccard similarity of lines above 0.8) count as one: they are near-duplicate
@@ -131,7 +131,7 @@ def frequent_lines(stats: DataFrame, limits: QualityLimits = QualityLimits()) ->
     own = lambda x: F.col("_n") - F.size(F.filter("_f", lambda y: 2 * y["n"] >= x["n"]))
     told = F.transform(F.filter("_f", lambda x: x["chars"] >= limits.min_line_chars), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), (OWN_LINES * own(x) >= F.col("_n")).cast("long").alias("own")))
     lines = one.select("_host", F.explode(told).alias("l")).groupBy("_host", "l.h").agg(F.max("l.n").alias("n_docs"), (F.sum("l.own") + F.max(1 - F.col("l.own"))).alias("n_rests"))
-    return lines.filter((F.col("n_rests") > limits.max_docs) & (2 * F.col("n_rests") >= F.col("n_docs")))
+    return lines.filter(F.col("n_rests") > limits.max_docs)
 
 
 def line_verdicts(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:

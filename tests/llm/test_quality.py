@@ -73,6 +73,14 @@ def test_a_template_of_several_lines_goes(spark):
         assert not any("template" in r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_copies_do_not_unflag_a_line(spark):
+    footer = "This footer line is on every page of it"
+    rows = [(i, f"{t}\n{footer}", "host") for i, t in enumerate(_pages(0, 2, 101))]
+    rows += [(1000 + i, rows[100][1], "host") for i in range(200)]
+    out = [r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(out) == 301 and not any("footer" in t for t in out) and sum("p100x" in t for t in out) == 201
+
+
 def test_near_copies_are_not_boilerplate(spark):
     lines = [" ".join(f"line{k}word{j}" for j in range(12)) for k in range(20)]
     rows = [(i, "\n".join(f"edited {i} of line" if k == i % 20 else x for k, x in enumerate(lines)), "host") for i in range(60)]
