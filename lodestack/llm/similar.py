@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     Rows of equal shingle sets are one node. Nodes link at a Jaccard similarity
     of ``similarity`` or more; component_id is the smallest doc_id reachable.
     First every band joins its rows to its first one; what is then still apart
-    is compared pair by pair, so a large group costs no square.
+    is compared pair by pair: a group that the first links join makes few pairs,
+    one that lies about the similarity makes many.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")

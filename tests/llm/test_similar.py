@@ -45,7 +45,7 @@ def test_stage_drops_copies_of_similarity_08(spark, small):
     assert kept == set(least.values())
 
 
-def test_a_large_group_makes_few_pairs(spark):
+def test_a_large_group_is_one_component(spark):
     """Copies of one text that differ in a word each, beside unlike texts."""
     words = [f"w{k}" for k in range(150)]
     rows = [(i, " ".join(words[:at] + [f"x{i}"] + words[at + 1 :])) for i in range(400) for at in [7 * i % 150]]
