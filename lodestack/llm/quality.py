@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.rows import ROW, packed, unpacked
+from lodestack.llm.rows import ROW, packed, spread_join, unpacked
 from lodestack.plans.storage import Scratch
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -19,8 +19,8 @@ _BLANKS = " \t\n\x0b\f\r"
 #: A packed window is 40 bits of hash over 24 bits of position.
 _POSITION_BITS = 24
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
-#: Two documents of n lines that differ in n / 9 of them have a similarity of 0.8.
-OWN_LINES = 9
+#: Two documents that differ in a ninth of what they hold have a similarity of 0.8.
+OWN_PART = 9
 
 
 @dataclass(frozen=True)
@@ -29,14 +29,14 @@ class QualityLimits:
 
     max_docs: a line that more than this many distinct documents of one host
         hold is boilerplate.
-    min_line_chars: shorter lines are never boilerplate.
+    min_line_chars: shorter lines are never boilerplate; by default every line counts.
     max_removed_percent: a document that loses a larger share of its lines'
         characters with its boilerplate lines is depleted.
     min_words, max_repeat_percent: the base rules.
     """
 
     max_docs: int = 20
-    min_line_chars: int = 16
+    min_line_chars: int = 1
     max_removed_percent: int = 50
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -51,8 +51,8 @@ def _long_hash(text: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """A line trimmed of spaces and lower-cased."""
-    return F.lower(F.trim(line))
+    """A line trimmed of white space and lower-cased."""
+    return F.lower(F.trim(line, F.lit(_BLANKS)))
 
 
 def document_key() -> list[Column]:
@@ -112,38 +112,44 @@ def document_stats(docs: DataFrame, limits: QualityLimits = QualityLimits(), wit
 
 
 def frequent_lines(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """Boilerplate lines: (_host, h, n_docs, n_rests).
+    """Boilerplate lines: (_host, h, n_docs, n_distinct).
 
     A line goes if more than ``max_docs`` distinct documents of a host hold it,
     however many copies stand beside them. Documents are told apart by all their
-    lines, so exact copies count once, and pages that share a
-    template of many lines count each. Near copies (documents of which under
-    1 / OWN_LINES of the lines are much rarer than the line in question, a
-    Jaccard similarity of lines above 0.8) count as one: they are near-duplicate
+    lines, so exact copies count once, and pages that share a template of many
+    lines count each. Near copies (documents of which under 1 / OWN_PART of the
+    lines and of the characters belong to lines much rarer than the line in
+    question, a similarity above 0.8) count as one: they are near-duplicate
     detection's business, and their text is not boilerplate.
-    Only lines that many rows hold are looked at again; counting them first
-    spreads a very common line over all tasks.
+
+    Only lines that many rows hold are looked at again. They are counted with
+    partial sums and dealt to several parts when joined, so a line that a third
+    of all documents hold stays in no single task.
     """
-    per = stats.select("_host", F.array_distinct("_lines").alias("_ls")).withColumns({"_d": F.xxhash64(F.sort_array("_ls.h")), "_n": F.size("_ls")})
-    each = per.select("_host", "_d", "_n", F.explode("_ls").alias("l")).select("_host", "_d", "_n", "l.h", "l.chars")
+    per = stats.select("_host", F.array_distinct("_lines").alias("_ls")).withColumns({"_d": F.xxhash64(F.sort_array("_ls.h")), "_n": F.size("_ls"), "_all": _chars(F.col("_ls"))})
+    each = per.select("_host", "_d", "_n", "_all", F.explode("_ls").alias("l")).select("_host", "_d", "_n", "_all", "l.h", "l.chars").filter(F.col("chars") >= limits.min_line_chars)
     held = each.groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs)
-    one = each.join(held, ["_host", "h"]).groupBy("_host", "_d", "_n").agg(F.collect_set(F.struct("h", "chars", "n")).alias("_f"))
-    own = lambda x: F.col("_n") - F.size(F.filter("_f", lambda y: 2 * y["n"] >= x["n"]))
-    told = F.transform(F.filter("_f", lambda x: x["chars"] >= limits.min_line_chars), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), (OWN_LINES * own(x) >= F.col("_n")).cast("long").alias("own")))
-    lines = one.select("_host", F.explode(told).alias("l")).groupBy("_host", "l.h").agg(F.max("l.n").alias("n_docs"), (F.sum("l.own") + F.max(1 - F.col("l.own"))).alias("n_rests"))
-    return lines.filter(F.col("n_rests") > limits.max_docs)
+    one = spread_join(each, held, ["_host", "h"], F.col("_d")).groupBy("_host", "_d", "_n", "_all").agg(F.collect_set(F.struct("h", "chars", "n")).alias("_f"))
+    near = lambda x: F.filter("_f", lambda y: 2 * y["n"] >= x["n"])
+    own = lambda x: (OWN_PART * (F.col("_n") - F.size(near(x))) >= F.col("_n")) | (OWN_PART * (F.col("_all") - _chars(near(x))) >= F.col("_all"))
+    told = F.transform("_f", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), own(x).cast("long").alias("own")))
+    lines = one.select("_host", F.explode(told).alias("l")).groupBy("_host", "l.h").agg(F.max("l.n").alias("n_docs"), (F.sum("l.own") + F.max(1 - F.col("l.own"))).alias("n_distinct"))
+    return lines.filter(F.col("n_distinct") > limits.max_docs)
+
+
+def _chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["chars"])
 
 
 def line_verdicts(stats: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """One row per document with a boilerplate line: its key, ``_gone`` (the
     lines' hashes) and ``_depleted``, by the share of characters over the
     document's different lines."""
-    lines = stats.withColumn("_total", F.aggregate(F.array_distinct("_lines"), F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
+    lines = stats.withColumn("_total", _chars(F.array_distinct("_lines")))
     each = lines.select("_id", "_tx", "_host", "_total", F.explode(F.array_distinct(F.filter("_lines", lambda x: x["chars"] >= limits.min_line_chars))).alias("l")).select("_id", "_tx", "_host", "_total", "l.h", "l.chars")
-    hit = each.join(frequent_lines(stats, limits).select("_host", "h"), ["_host", "h"])
+    hit = spread_join(each, frequent_lines(stats, limits).select("_host", "h"), ["_host", "h"], F.col("_tx"))
     per = hit.groupBy("_id", "_tx").agg(F.collect_set(F.struct("h", "chars")).alias("_set"), F.max("_total").alias("_total"))
-    lost = F.aggregate("_set", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    return per.select("_id", "_tx", F.col("_set.h").alias("_gone"), (100 * lost > limits.max_removed_percent * F.col("_total")).alias("_depleted"))
+    return per.select("_id", "_tx", F.col("_set.h").alias("_gone"), (100 * _chars(F.col("_set")) > limits.max_removed_percent * F.col("_total")).alias("_depleted"))
 
 
 def _judged(docs: DataFrame, limits: QualityLimits, without: tuple[str, ...]) -> DataFrame:
@@ -207,16 +213,15 @@ base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_t
                 CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
          FROM d LEFT JOIN rep USING (doc_id)),
 raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS r FROM d),
-hs AS (SELECT DISTINCT doc_id, host, CAST('0x' || substr(md5(lower(trim(r))), 1, 15) AS BIGINT) AS h, length(lower(trim(r))) AS chars FROM raw
-       WHERE regexp_matches(r, '[^\x20\x09-\x0D]')),
-mins AS (SELECT doc_id, m1, (SELECT min(h) FROM hs x WHERE x.doc_id = y.doc_id AND x.h <> y.m1) AS m2
-         FROM (SELECT doc_id, min(h) AS m1 FROM hs GROUP BY doc_id) y),
-freq AS (SELECT host, h FROM (
-           SELECT host, h, rest, count(*) AS n FROM (
-             SELECT host, h, CASE WHEN h = m1 THEN m2 ELSE m1 END AS rest FROM hs JOIN mins USING (doc_id) WHERE chars >= 16) GROUP BY ALL)
-         GROUP BY host, h HAVING count(*) > 20 AND 2 * count(*) >= sum(n)),
-lost AS (SELECT doc_id, sum(chars) AS lost FROM hs JOIN freq USING (host, h) WHERE chars >= 16 GROUP BY doc_id),
-total AS (SELECT doc_id, sum(chars) AS total FROM hs GROUP BY doc_id),
+hs AS (SELECT DISTINCT doc_id, host, CAST('0x' || substr(md5(n), 1, 15) AS BIGINT) AS h, length(n) AS chars
+       FROM (SELECT doc_id, host, lower(trim(r, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) AS n FROM raw) WHERE n <> ''),
+total AS (SELECT doc_id, sum(chars) AS total, list(h ORDER BY h) AS d, count(*) AS k FROM hs GROUP BY doc_id),
+held AS (SELECT host, h, count(*) AS n FROM hs GROUP BY host, h HAVING count(*) > 20),
+one AS (SELECT DISTINCT host, d, k, total, h, chars, n FROM hs JOIN total USING (doc_id) JOIN held USING (host, h)),
+told AS (SELECT x.host, x.h, x.d, 9 * (any_value(x.total) - sum(y.chars)) >= any_value(x.total) OR 9 * (any_value(x.k) - count(*)) >= any_value(x.k) AS own
+         FROM one x JOIN one y ON x.host = y.host AND x.d = y.d AND 2 * y.n >= x.n GROUP BY x.host, x.h, x.d),
+freq AS (SELECT host, h FROM told GROUP BY host, h HAVING count(*) FILTER (own) + CASE WHEN bool_and(own) THEN 0 ELSE 1 END > 20),
+lost AS (SELECT doc_id, sum(chars) AS lost FROM hs JOIN freq USING (host, h) GROUP BY doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(100 * lost > 50 * total, false) AS kept

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW = "_row"
+#: Parts that rows of one key are dealt to where a key may hold a third of a table.
+SALTS = 16
 
 
 def quoted(name: str) -> str:
@@ -23,3 +25,16 @@ def unpacked(rows: DataFrame, names: list[str], **columns: Column) -> DataFrame:
     """The columns of ROW under ``names``, in order; those given replace theirs or follow."""
     own = [columns[c].alias(c) if c in columns else F.col(f"{ROW}.{quoted(c)}").alias(c) for c in names]
     return rows.select(*own, *[v.alias(k) for k, v in columns.items() if k not in names])
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each ``on`` and is
+    much smaller, when one key may hold a third of ``left``.
+
+    Each row of ``right`` stands in ``salts`` copies and ``left`` is dealt to
+    them by the hash of ``by``, so no task gets a whole key. Where ``right``
+    turns out small, Spark broadcasts it by its size at run time instead.
+    """
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -68,11 +69,53 @@ def _pages(shared, own, n=100):
 
 
 def test_a_template_of_several_lines_goes(spark):
-    for shared, own in ((4, 2), (10, 5), (20, 3)):
+    for shared, own in ((1, 4), (3, 4), (4, 2), (10, 4), (10, 2), (20, 3), (30, 4), (30, 2)):
         rows = [(i, t, "host") for i, t in enumerate(_pages(shared, own))]
         assert not any("template" in r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_short_lines_and_white_space_count(spark):
+    menu = ("Home", "Log in\r", "\tContact us ")
+    rows = [(i, "\n".join((*menu, t)), "host") for i, t in enumerate(_pages(0, 1, 50))] + [(100, "\n".join(("home", " log in", "Contact us\t", *(f"m{k} n{k}" for k in range(3)), *(["x"] * 60))), "host")]
+    out = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA), quality.QualityLimits(max_repeat_percent=100, min_words=1)).collect()}
+    assert len(out) == 50 and all(t.startswith("p") and "\n" not in t for t in out.values())  # 100 consists of its menu
+    limits = quality.QualityLimits(max_repeat_percent=100, max_removed_percent=90, min_words=1)
+    kept = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, SCHEMA), limits).collect()}
+    assert kept[100].startswith("m0 n0\n")
+
+
+def test_the_rule_by_brute_force(spark):
+    """Verdicts over a mixed corpus, from the definition in plain Python."""
+    rng = random.Random(5)
+    pool = [" ".join(f"t{k}w{j}" for j in range(rng.randint(1, 12))) for k in range(30)]
+    rows = []
+    for i in range(400):
+        kind = i % 4
+        lines = [" ".join(f"d{i}l{k}w{j}" for j in range(12)) for k in range(rng.randint(1, 6))]
+        if kind == 1:  # near copies of one text
+            lines = [" ".join(f"copy{k}w{j}" for j in range(10)) for k in range(15)] + [f"edit {i}"]
+        elif kind == 2:  # exact copies
+            lines = [" ".join(f"same{i % 12}k{k}w{j}" for j in range(10)) for k in range(6)]
+        lines += rng.sample(pool, rng.randint(0, 9))
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), f"h{rng.choice('aab')}"))
+    limits = quality.QualityLimits(max_docs=9, min_words=1)
+    sets = [{x.strip(" \t\x0b\f\r").lower() for x in t.split("\n")} - {""} for _, t, _ in rows]
+    size = lambda lines: sum(map(len, lines))
+    bad = {}
+    for host in ("ha", "hb"):
+        mine = [s for s, r in zip(sets, rows) if r[2] == host]
+        n = Counter(x for s in mine for x in s)
+        often = {x for x in n if n[x] > limits.max_docs}
+        near = lambda s, x: {y for y in s & often if 2 * n[y] >= n[x]}  # noqa: B023, E731
+        votes = {x: [9 * size(s - near(s, x)) >= size(s) or 9 * len(s - near(s, x)) >= len(s) for s in set(map(frozenset, mine)) if x in s] for x in often}
+        bad[host] = {x for x, v in votes.items() if sum(v) + (not all(v)) > limits.max_docs}
+    assert bad["ha"] and bad["hb"]
+    want = {r[0]: 2 * size(s & bad[r[2]]) <= size(s) for r, s in zip(rows, sets)}
+    assert not all(want.values())
+    assert {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA), limits).collect()} == want
+
+
 def test_copies_do_not_unflag_a_line(spark):
     footer = "This footer line is on every page of it"
     rows = [(i, f"{t}\n{footer}", "host") for i, t in enumerate(_pages(0, 2, 101))]
