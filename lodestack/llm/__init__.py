@@ -23,10 +23,16 @@ MODULES = {
 }
 
 
+#: Operators once more on derived tables: query name -> module, its query and its SQL.
+DERIVED = {"chat_replies": ("chat", "replies_query", "REPLIES_SQL")}
+
+
 def queries() -> dict:
-    return {name: import_module(f"{__name__}.{module}").query for name, module in MODULES.items()}
+    found = {name: import_module(f"{__name__}.{module}").query for name, module in MODULES.items()}
+    return found | {name: getattr(import_module(f"{__name__}.{module}"), query) for name, (module, query, _) in DERIVED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(import_module(f"{__name__}.{module}"), "SQL", None) for name, module in MODULES.items()}
+    found |= {name: getattr(import_module(f"{__name__}.{module}"), sql) for name, (module, _, sql) in DERIVED.items()}
     return {name: sql for name, sql in found.items() if sql}
