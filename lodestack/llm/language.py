@@ -7,12 +7,12 @@ and a narrow margin is reported as a rejection.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,8 @@ BLOCK = 2048
 _PARAMETERS = dict(window_log=17, hash_log=17, chain_log=16, search_log=1, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
 #: Ends each block, so that zstandard never finds it not worth compressing.
 _RUN = b"\x02" * 64
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is any code point of Unicode's category L.
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -85,12 +86,14 @@ class LanguageModel:
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     """Dictionaries from rows (doc_id, text, lang) that one may learn from.
 
-    Null texts and languages teach nothing. Of each language about ``rows``
+    Rows with a null doc_id, text or language teach nothing; other columns are
+    not read; without any row the model has no language and answers UNKNOWN.
+    A dictionary holds at most DICTIONARY_BYTES, that is some 190 pieces of full length. Of each language about ``rows``
     documents, those whose hash is smallest, give FIT_CHARS characters from a
     place that the hash picks; counts come first, so that a language of many
     documents is thinned before anything is gathered.
     """
-    known = docs.filter("text is not null and lang is not null").select("doc_id", "lang", "text")
+    known = docs.filter("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang", "text")
     order = F.shiftrightunsigned(F.xxhash64("doc_id"), 12)
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -106,7 +109,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row, from whole texts; only
-    the text is read. Repeated rows are classified as often as they stand."""
+    the text is read, so columns of any other name cannot clash. Repeated rows
+    are classified as often as they stand; an empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,5 +125,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = fit(docs.filter(~held_out))
-    return identify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    model = fit(docs.filter(~held_out))  # a null doc_id teaches nothing
+    return identify(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")

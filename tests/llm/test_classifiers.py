@@ -3,6 +3,7 @@ import re
 import zlib
 
 import pytest
+import regex
 import zstandard
 from pyspark.sql import functions as F
 
@@ -36,6 +37,36 @@ def test_language_edges(spark):
     assert language.identify(asked.limit(0), model).count() == 0
 
 
+def test_only_letters_count():
+    model = language.LanguageModel({"en": b"the cat and the dog", "fr": b"le chat et le chien"})
+    assert [model.classify(t)[0] for t in ("½ ² ①", "Ⅷ 12", "_", "٣")] == ["und"] * 4
+    assert all(model.classify(t)[0] != "und" for t in ("a", "ß", "漢", "ª", "א"))
+
+
+def test_languages_by_plain_zstandard(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    parameters = zstandard.ZstdCompressionParameters(**language._PARAMETERS)
+    some = docs.filter("doc_id < 80")
+    for r in language.identify(some, model).join(some, "doc_id").collect():
+        data = r.text.lower().encode()
+        sizes = {}
+        for name, own in model.dictionaries.items():
+            raw = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[name] = sum(len(zstandard.ZstdCompressor(compression_params=parameters, dict_data=raw).compress(data[i : i + 2048] + b"\x02" * 64)) for i in range(0, len(data), 2048))
+        best, second = sorted(sizes.values())[:2]
+        if regex.search(r"\p{L}", r.text):
+            assert sizes[r.lang_pred] == best and r.rejected == ((second - best < 4 and second - best < 0.01 * best) or second == best)
+            assert r.score == pytest.approx(1 / sum(2.0 ** -min(s - best, 60) for s in sizes.values()))
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "the cat and the dog", "en"), (1, "le chat", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (language, toxicity):
+        assert {r.held_out for r in module.query(spark, str(tmp_path)).collect() if r.doc_id is None} == {False}
+
+
 def test_labels_do_not_reach_predictions(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = language.fit(docs)
