@@ -8,7 +8,7 @@ are then shuffled over the whole result. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ def repetition_rates(sizes: DataFrame, weights: dict[str, float] | None = None,
     ``weights`` are relative targets by source; a source without one gets none
     of the mix. By default weights are the sizes to the power ``temperature``.
     ``budget`` is the characters aimed at in all, by default as many as there
-    are. A source without characters keeps each document once.
+    are. A source without characters but with a weight has a mean of one copy.
     """
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("chars").cast("double"), F.lit(temperature)))
@@ -51,14 +51,14 @@ def repetition_rates(sizes: DataFrame, weights: dict[str, float] | None = None,
         weighed = sizes.join(given, "src", "left").fillna(0.0, ["w"])
     weight, chars = weighed.agg(F.sum("w"), F.sum("chars")).first()  # two numbers
     aim = F.lit(float(budget if budget is not None else chars or 0))
-    rates = weighed.withColumn("rate", F.when(F.col("chars") == 0, 1.0).otherwise(F.col("w") / F.lit(weight) * aim / F.col("chars") if weight else 0.0))
+    rates = weighed.withColumn("rate", F.when((F.col("chars") == 0) & (F.col("w") > 0 if weights is not None else F.lit(True)), 1.0).when(F.col("chars") == 0, 0.0).otherwise(F.col("w") / F.lit(weight) * aim / F.col("chars") if weight else 0.0))
     # By logarithms, so that a large rate does not underflow; beyond 12 deviations nothing is left.
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k == 0, -F.col("rate")).otherwise(F.ln(F.col("rate") / k)))
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("cdf"))
-    step = lambda a, x: F.struct((a["l"] + x).alias("l"), (a["c"] + F.exp(a["l"] + x)).alias("c"), F.concat(a["cdf"], F.array(a["c"] + F.exp(a["l"] + x))).alias("cdf"))
-    cdf = F.aggregate(logs, start, step, lambda a: a["cdf"])
-    return rates.select("src", "rate", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0))).alias("cdf"))
+    steps = rates.select("src", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k")).withColumn("l", F.when(F.col("k") == 0, -F.col("rate")).when(F.col("rate") > 0, F.ln(F.col("rate") / F.col("k"))))
+    upto = Window.partitionBy("src").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.filter("rate > 0").withColumn("c", F.exp(F.sum("l").over(upto))).withColumn("c", F.sum("c").over(upto))
+    cdf = sums.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("s")).select("src", F.col("s.c").alias("cdf"))
+    return rates.join(cdf, "src", "left").select("src", "rate", F.coalesce("cdf", F.array(F.lit(1.0))).alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: str = SEED, temperature: float = TEMPERATURE) -> DataFrame:
@@ -67,13 +67,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     columns of those names.
 
     Rows lie in random partitions, ordered by ``shuffle_key`` in each. Rows of
-    one doc_id, a null one included, are drawn alike; an empty table gives an
-    empty result; null texts have no characters.
+    one doc_id are drawn alike; rows without one by their text, so they share no
+    partition. An empty table gives an empty result; null texts have no
+    characters; a rate of 1 is a mean, so that some documents go and others come
+    twice.
     """
     sizes = source_sizes(docs)
     # Written first: Spark then knows the size and broadcasts the rates only if they are few.
     rates = Scratch(docs.sparkSession, "mixing").table(repetition_rates(sizes, weights, budget, temperature), "rates")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")))))
     u = _draw(F.lit(seed), F.col("_name")) / F.lit(float(1 << _BITS))
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     out = packed(docs, source_name().alias("_src"), name.alias("_name"), without=("copy", "shuffle_key")).join(rates.withColumnRenamed("src", "_src"), "_src")

@@ -41,3 +41,39 @@ def test_edges(spark):
     assert mixing.mix(docs, weights={}).count() <= 2 * 6
     assert mixing.mix(docs, weights={"zz": 1.0}).filter("source = 'b'").count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sources_without_characters_or_weight(spark):
+    rows = [(i, None, "none") for i in range(300)] + [(1000 + i, "text", "some") for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert 200 < mixing.mix(docs).filter("source = 'none'").count() < 400  # a mean of one copy
+    assert 200 < mixing.mix(docs, weights={"none": 1.0, "some": 1.0}).filter("source = 'none'").count() < 400
+    assert mixing.mix(docs, weights={"some": 1.0}).filter("source = 'none'").count() == 0
+
+
+def test_null_ids_share_no_shuffle_key(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(200)], SCHEMA)
+    got = mixing.mix(docs)
+    assert got.select("shuffle_key").distinct().count() > 150
+
+
+def test_copies_by_brute_force(spark):
+    """Counts of copies from the definition, in plain Python."""
+    import hashlib
+
+    rows = [(i, "x" * (i % 7), "abc"[i % 3]) for i in range(300)]
+    chars = {s: sum(len(t) for _, t, x in rows if x == s) for s in "abc"}
+    want = {}
+    for i, _, s in rows:
+        rate = chars[s] ** 0.5 / sum(c**0.5 for c in chars.values()) * sum(chars.values()) / chars[s]
+        u = int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:15], 16) / 2**60
+        n, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            n += 1
+            p *= rate / n
+            c += p
+        if n:
+            want[i] = n
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == want
