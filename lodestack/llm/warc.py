@@ -21,12 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.rows import spread_join
 from lodestack.plans.storage import Scratch
 
 #: A new archive begins beyond this size.
 ARCHIVE_BYTES = 1 << 30
 #: Ranges closer than GAP are read as one, up to SPAN.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Most bytes of archives that a reading task gets.
+TASK_BYTES = 256 << 20
+#: Hadoop's names for a file system that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, url string, payload_digest string, record_type string, archive string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -46,7 +51,8 @@ def _opened(uri: str, mode: str):
     else:
         from pyarrow.fs import FileSystem
 
-        store, path = FileSystem.from_uri(uri)
+        scheme, _, rest = uri.partition("://")
+        store, path = FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
         if mode == "wb":
             store.create_dir(os.path.dirname(path), recursive=True)
             with store.open_output_stream(path) as file:
@@ -105,12 +111,16 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     ``least_bytes`` a smaller page_id holds too, that page.
 
     Only digests and ids are grouped and joined; pages meet what they refer to
-    by their id.
+    by their id. A payload that a third of all pages share is dealt to several
+    parts. A null html is an empty payload. Rows of equal page_id and payload
+    get the same answer, each of them; a null page_id refers to nothing and
+    nothing to it. Other columns are not read; an empty table gives an empty
+    result.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     ids = pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("size")).filter(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes))
     first = ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("last > first")
-    again = ids.join(first, "sha").filter("page_id > first").groupBy(F.col("page_id").alias("_p"), F.col("sha").alias("_s")).agg(F.min("first").alias("refers_to"))
+    again = spread_join(ids, first, ["sha"], F.col("page_id")).filter("page_id > first").groupBy(F.col("page_id").alias("_p"), F.col("sha").alias("_s")).agg(F.min("first").alias("refers_to"))
     rows = pages.select("page_id", "url", body.alias("html"))
     return rows.join(again, (F.col("page_id") == F.col("_p")) & (F.sha1("html") == F.col("_s")), "left").select("page_id", "url", "html", "refers_to")
 
@@ -118,7 +128,9 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html) and return
     the index. A file name holds the task's attempt, so a repeated task leaves
-    the archives of the attempt that counts alone."""
+    the archives of the attempt that counts alone. Null html, ties and repeated
+    rows are as in ``revisits``, a record for each row; a null url is written as
+    one that ``read`` gives back as null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -171,7 +183,9 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the rows of ``index`` (any selection of it).
 
     Rows are dealt by archive and span, so that a task reads whole stretches
-    and no task gets more of one archive than a span at a time.
+    and no task gets more of one archive than a span at a time. The number of
+    tasks follows the bytes to read, not those of the index. Rows given twice
+    are read twice; an empty index gives an empty result.
     """
     fields = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -189,7 +203,9 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         x["payload"] = None
                 yield pa.RecordBatch.from_arrays([pa.array([x[f] for x in found], t) for f, t in zip(fields, kinds)], fields)
 
-    dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(size // SPAN, 2 * index.sparkSession.sparkContext.defaultParallelism))
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, RECORD)
 
 

@@ -57,3 +57,12 @@ def test_archives_roll_over_and_damage_is_seen(spark, monkeypatch):
     gzip = zlib.compressobj(4, zlib.DEFLATED, 31)
     with pytest.raises(ValueError):
         warc.parse(gzip.compress(whole) + gzip.flush())
+
+
+def test_reading_is_dealt_by_archive_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 4096)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(33 + (i * 7 + k * k) % 90) for k in range(3000))) for i in range(60)], SCHEMA)
+    scratch = Scratch(spark, "t")
+    index = scratch.table(warc.write(pages, scratch.path("a")), "index")
+    got = warc.read(index)
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 60
