@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
+from lodestack.llm.rows import spread_join
 from lodestack.plans.storage import Scratch
 
 
@@ -32,25 +33,36 @@ class CellPlan:
     """How vectors are dealt and compared.
 
     threshold: the least cosine of a link.
-    slack: a class visits each cell whose centre is at most this much less
-        similar than its own cell's. Two vectors at the threshold differ in
-        their similarity to a centre by 0.32 at most; among 64 or more
-        dimensions by rarely more than a third of that.
+    spread: a class visits each cell whose centre is at most ``slack`` less
+        similar than its own cell's. A linked pair differs in its preference
+        between two cells by ``deviation`` in its usual size; it is only missed
+        if both lie on their own side by more than the slack, so 2 * slack is
+        ``spread`` deviations. slack itself may be given; 2 makes the search
+        exhaustive.
     cell_rows, block_rows: rows aimed at in a cell, and most in a block.
-    fit_rows, most_cells, rounds: bounds of the k-means fit.
+    fit_rows, fit_bytes, most_cells, rounds: bounds of the k-means fit; four
+        rows for each cell, fit_rows at least. Up to most_cells * cell_rows
+        classes (8 million), cells grow with the table and keep their size.
     merged: centres at least this similar become one, so that no group of near
         copies is dealt over many cells that all visit each other.
     """
 
     threshold: float = 0.95
-    slack: float = 0.12
-    cell_rows: int = 2000
+    spread: float = 3.0
+    slack: float | None = None
+    cell_rows: int = 500
     block_rows: int = 1024
     fit_rows: int = 20_000
-    most_cells: int = 2048
-    rounds: int = 12
+    fit_bytes: int = 1 << 28
+    most_cells: int = 16_384
+    rounds: int = 8
     merged: float = 0.9
 
+    def slack_of(self, width: int) -> float:
+        """The slack for vectors of ``width`` components."""
+        deviation = math.sqrt((1 - self.threshold**2) * 2 / max(width, 1))
+        return self.spread * deviation / 2 if self.slack is None else self.slack
+
     @property
     def tight(self) -> float:
         """Cosine to a centre from which on two vectors surely link."""
@@ -63,16 +75,18 @@ class CellPlan:
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors of length one in double precision. Null and zero
-    vectors and those with a null or non-finite component are left out."""
+    """(vec_id, v, h1, h2) of every row: the vector of length one in double
+    precision and 128 bits of its hash. ``v`` is null for null and zero vectors,
+    those with a null or non-finite component and those without a vec_id."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    fine = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), v.alias("v"))
-    fine = fine.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    # Scaled by the largest component first: squares then neither overflow nor vanish.
-    fine = fine.withColumn("_m", largest).filter("_m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_m")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return fine.withColumn("_n", norm).select("vec_id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+    out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    fine = F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    out = out.withColumn("v", F.when(fine, F.col("v"))).withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    # Scaled by the largest component first: squares then neither overflow nor vanish. Adding zero makes -0 zero.
+    out = out.withColumn("v", F.when(F.col("_m") > 0, F.transform("v", lambda x: x / F.col("_m") + 0.0)))
+    out = out.withColumn("_n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    out = out.withColumn("v", F.transform("v", lambda x: x / F.col("_n")))
+    return out.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
 
 
 def fit_centres(classes: DataFrame, plan: CellPlan) -> np.ndarray:
@@ -81,16 +95,17 @@ def fit_centres(classes: DataFrame, plan: CellPlan) -> np.ndarray:
     The number of cells follows the number of classes; one cell needs no fit.
     Vectors of other lengths than the most common one share no cell with it.
     """
-    n = classes.count()
-    cells = int(min(plan.most_cells, max(1, n // plan.cell_rows)))
-    share = min(1.0, 1.3 * plan.fit_rows / max(n, 1)) * 2.0**52
-    sample = classes.filter(F.shiftrightunsigned(F.xxhash64("rep"), 12) <= share).orderBy("rep").limit(2 * plan.fit_rows).select("v")
-    x = [r["v"] for r in sample.collect()]
-    if not x:
+    widths = classes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if widths is None:
         return np.zeros((0, 0))
-    lengths = [len(v) for v in x]
-    width = max(set(lengths), key=lengths.count)
-    x = np.array([v for v in x if len(v) == width])
+    width, n = widths["width"], widths["count"]
+    cells = int(min(plan.most_cells, max(1, n // plan.cell_rows)))
+    rows = min(max(plan.fit_rows, 4 * cells), plan.fit_bytes // (8 * width))
+    share = min(1.0, 1.3 * rows / n) * 2.0**52
+    sample = classes.filter(F.size("v") == width).filter(F.shiftrightunsigned(F.xxhash64("h1"), 12) <= share).orderBy("h1", "h2").limit(int(rows)).select("v")
+    x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in sample.toArrow().column("v").chunks)]).reshape(-1, width)
+    if not len(x):  # a small table may have no hash that low
+        x = np.array([r["v"] for r in classes.filter(F.size("v") == width).limit(1).collect()])
     cells = min(cells, len(x))
     random = np.random.default_rng(7)
     centres = x[random.choice(len(x), cells, replace=False)]
@@ -105,7 +120,8 @@ def fit_centres(classes: DataFrame, plan: CellPlan) -> np.ndarray:
 
 def _moved(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Centres moved to the mean direction of their vectors; empty ones stay."""
-    own = (x @ centres.T).argmax(axis=1)
+    step = max(1, (1 << 23) // len(centres))
+    own = np.concatenate([(x[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(x), step)])
     sums = np.zeros_like(centres)
     np.add.at(sums, own, x)
     norms = np.linalg.norm(sums, axis=1)
@@ -119,15 +135,17 @@ def assign(classes: DataFrame, centres: np.ndarray, plan: CellPlan) -> DataFrame
     ``home`` is -1 less the vector's length if that is not the centres' length,
     so that vectors of one other length share one cell.
     """
-    sent = classes.sparkSession.sparkContext.broadcast(centres)
+    sent = classes.sparkSession.sparkContext.broadcast(centres)  # at most most_cells vectors
+    slack = plan.slack_of(centres.shape[1])
     fields = [("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("home", pa.int32()), ("near", pa.float64()), ("visits", pa.list_(pa.int32())), ("visits_near", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = sent.value
+        step = max(1, min(4096, (1 << 22) // max(1, len(centres))))
         for batch in batches:
             home, near, visits, visits_near = [], [], [], []
-            for start in range(0, batch.num_rows, 4096):
-                rows = batch.column(2).slice(start, 4096).to_pylist()
+            for start in range(0, batch.num_rows, step):
+                rows = batch.column(2).slice(start, step).to_pylist()
                 same = [i for i, v in enumerate(rows) if centres.size and len(v) == centres.shape[1]]
                 cell, best = np.array([-1 - len(v) for v in rows]), np.zeros(len(rows))
                 others: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
@@ -138,7 +156,7 @@ def assign(classes: DataFrame, centres: np.ndarray, plan: CellPlan) -> DataFrame
                     best[same] = top = s[np.arange(len(s)), own]
                     s[np.arange(len(s)), own] = -9
                     for i, row, t in zip(same, s, top):
-                        others[i] = np.flatnonzero(row >= t - plan.slack)
+                        others[i] = np.flatnonzero(row >= t - slack)
                         sims[i] = row[others[i]]
                 home += cell.tolist()
                 near += best.tolist()
@@ -278,13 +296,16 @@ def near_duplicates(rows: DataFrame, plan: CellPlan = CellPlan()) -> DataFrame:
 
     Vectors that have no direction (see unit_vectors) link with nothing and
     are their own component. Rows with a null vec_id come back with no link, no
-    component and not kept. Rows of equal vec_id and vector count as vectors of
-    their own; other columns are not read.
+    component and not kept. Rows of equal vec_id count as vectors of their own,
+    each with the links of its own vector; other columns are not read; an empty
+    table gives an empty result.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "embeddings")
     units = scratch.table(unit_vectors(rows), "units")
-    classes = scratch.table(units.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    equal = units.filter("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # A class's number, not its smallest vec_id, names it: two classes may share that.
+    classes = scratch.table(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
     centres = fit_centres(classes, plan)
     assigned = scratch.table(assign(classes, centres, plan), "cells")
     threshold = plan.threshold
@@ -292,11 +313,13 @@ def near_duplicates(rows: DataFrame, plan: CellPlan = CellPlan()) -> DataFrame:
     found = scratch.table(found.unionAll(tight_links(assigned, plan)), "found")
     links = found.filter("a = b").groupBy(F.col("a").alias("_c")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("a <> b").select("a", "b"), scratch)
-    named = classes.join(links, classes["rep"] == links["_c"], "left").join(parts, classes["rep"] == parts["node"], "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    member = units.join(named, "v").select(F.col("vec_id").alias("_m"), "n_links", "component_id").distinct()
-    out = rows.select(F.col("vec_id").cast("long")).join(member, F.col("vec_id") == F.col("_m"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = classes.select("rep", "h1", "h2", "least", "n").join(links, F.col("rep") == F.col("_c"), "left").join(parts, F.col("rep") == F.col("node"), "left")
+    named = scratch.table(named.select("h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("part")), "named")
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    told = spread_join(named, least, ["part"], F.col("h1")).select("h1", "h2", "n_links", "component_id")
+    # Copies of one vector may be a third of all rows.
+    out = spread_join(units.filter("v is not null").select("vec_id", "h1", "h2"), told, ["h1", "h2"], F.col("vec_id")).select("vec_id", "n_links", "component_id")
+    out = out.unionAll(units.filter("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -42,8 +42,6 @@ def test_against_brute_force(spark, plan):
     vectors += [vectors[0]] * 9 + [[x * 4 for x in vectors[1]]]
     ids = list(range(500, 500 + len(vectors)))
     random.Random(1).shuffle(ids)
-    if plan.slack < 1:  # few dimensions spread more than the default slack is made for
-        plan = embeddings.CellPlan(cell_rows=plan.cell_rows, block_rows=plan.block_rows, slack=0.5)
     check(spark, ids, vectors, plan)
 
 
@@ -60,6 +58,12 @@ def test_repeated_rows_and_empty_table(spark):
     assert embeddings.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_have_links_of_their_own(spark):
+    rows = spark.createDataFrame([(3, [0.0, 1.0]), (3, None), (3, [1.0, 0.0]), (5, [0.0, 2.0]), (6, [0.0, 1.0]), (7, [1.0, 0.01])], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(rows).collect())
+    assert got == sorted([(3, 2, 3), (3, 0, 3), (3, 1, 3), (5, 2, 3), (6, 2, 3), (7, 1, 3)])
+
+
 def test_recall_on_the_test_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     rows = spark.read.parquet(path).orderBy("vec_id").collect()
@@ -69,3 +73,22 @@ def test_recall_on_the_test_table(spark):
     plan = embeddings.CellPlan(cell_rows=50, block_rows=64)
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.read.parquet(path), plan).collect()}
     assert [got[r.vec_id] for r in rows] == links.tolist()
+
+
+@pytest.mark.parametrize("width", [4, 8, 16, 64])
+def test_the_default_slack_finds_links_at_any_width(spark, width):
+    """Pairs at the threshold, the hardest case, with small cells."""
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(600, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = rng.normal(size=(600, width))
+    w -= (w * x).sum(axis=1)[:, None] * x
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * w
+    both = np.concatenate((x, y)).astype(np.float32)
+    exact = both.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    want = (exact @ exact.T >= 0.95).sum() - len(both)
+    rows = spark.createDataFrame(list(enumerate(both.tolist())), SCHEMA)
+    got = embeddings.near_duplicates(rows, embeddings.CellPlan(cell_rows=24)).agg(F.sum("n_links")).first()[0]
+    assert want >= 1200 and 0.99 * want <= got <= want
