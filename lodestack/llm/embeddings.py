@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,15 +79,26 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, v, h1, h2) of every row: the vector of length one in double
     precision and 128 bits of its hash. ``v`` is null for null and zero vectors,
     those with a null or non-finite component and those without a vec_id."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    fine = F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    out = out.withColumn("v", F.when(fine, F.col("v"))).withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x))))
-    # Scaled by the largest component first: squares then neither overflow nor vanish. Adding zero makes -0 zero.
-    out = out.withColumn("v", F.when(F.col("_m") > 0, F.transform("v", lambda x: x / F.col("_m") + 0.0)))
-    out = out.withColumn("_n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    out = out.withColumn("v", F.transform("v", lambda x: x / F.col("_n")))
-    return out.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+
+    def unit(x: np.ndarray) -> np.ndarray | None:
+        most = np.abs(x).max() if len(x) else 0
+        if not 0 < most < np.inf:  # not so for NaN, which a null component is by now
+            return None
+        # Scaled by the largest component first: squares then neither overflow nor vanish. Adding zero makes -0 zero.
+        x = x / most + 0.0
+        return x / np.sqrt(np.add.reduce(x * x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            fine = np.asarray(lists.is_valid()) & np.asarray(batch.column(0).is_valid())
+            found = [unit(flat[i:j]) if ok else None for i, j, ok in zip(ends, ends[1:], fine)]
+            data = [None if x is None else x.tobytes() for x in found]
+            hashes = [pa.array([None if x is None else xxhash.xxh64_intdigest(x, seed) - (1 << 63) for x in data], pa.int64()) for seed in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), *hashes], ["vec_id", "v", "h1", "h2"])
+
+    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, v array<double>, h1 long, h2 long")
 
 
 def fit_centres(classes: DataFrame, plan: CellPlan) -> np.ndarray:
