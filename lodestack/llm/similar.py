@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.rows import packed, unpacked
+from lodestack.llm.rows import packed, spread_join, unpacked
 from lodestack.plans.storage import Scratch
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -27,6 +27,8 @@ SEED = 42
 BANDS, ROWS = 32, 8
 #: Differing bits of 128 up to which shingles are compared: at 0.8 the mean is 19 and the deviation 4.
 FAR_BITS = 36
+#: Rows of a band key that are compared as one block, and pairs verified at once.
+BLOCK_ROWS, _AT_ONCE = 512, 64
 #: Shingles hashed at once, and parts that the links of one document are dealt to.
 _BLOCK, _SALTS = 1 << 12, 16
 _A = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -89,20 +91,6 @@ def _first_pairs(node, s0, s1, part) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.zeros(len(hit), np.int64), hit)]
 
 
-def _other_pairs(node, s0, s1, part) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of a run whose ends are still apart. Rows of the run's
-    most frequent component are only met, not walked through."""
-    kinds, counts = np.unique(part, return_counts=True)
-    if len(kinds) < 2:
-        return []
-    out, walked = [], part != kinds[counts.argmax()]
-    for u in np.flatnonzero(walked):
-        open_ = (part != part[u]) & ~(walked & (np.arange(len(part)) < u))
-        hit = np.flatnonzero(open_ & (_apart(s0, s1, u) <= FAR_BITS))
-        out.append((np.full(len(hit), u), hit))
-    return out
-
-
 def _pairs(choose: Callable) -> Callable:
     """Candidate pairs among rows (key, node, s0, s1, part) sorted by key and
     node; a run may span batches."""
@@ -144,6 +132,86 @@ def _alike(similarity: float) -> Callable:
     return run
 
 
+def _jaccard(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Similarities of one sorted set to others."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat(one[place] == flat, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return both / (len(one) + sizes - both)
+
+
+def block_links(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what is alike in one block, or in one pair of blocks.
+
+    Rows of one part are joined already; a pair that shares several band keys
+    is looked at under the first of them. A row's candidates are verified from
+    the nearest on, and those of a part that it has joined are not verified.
+    """
+    column = lambda c: rows.column(c).to_numpy()
+    node, s0, s1, side = column("node"), column("s0").view(np.uint64), column("s1").view(np.uint64), column("side")
+    part = np.unique(column("part"), return_inverse=True)[1]
+    if len(part) < 2 or part.max() == 0:
+        return []
+    band, within = rows.column("band")[0].as_py(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    keys = rows.column("keys").combine_chunks().values.to_numpy().reshape(-1, BANDS)
+    grams = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("grams")]
+    walked = part != np.bincount(part).argmax()
+    done = np.zeros(len(part), bool)
+    links = []
+    for u in np.flatnonzero(walked):
+        done[u] = True
+        apart = _apart(s0, s1, u)
+        hit = np.flatnonzero((part != part[u]) & (apart <= FAR_BITS) & ~done & (within | (side != side[u])))
+        hit = hit[(keys[hit] == keys[u]).argmax(axis=1) == band]
+        hit = hit[np.argsort(apart[hit], kind="stable")]
+        while len(hit):
+            some, hit = hit[:_AT_ONCE], hit[_AT_ONCE:]
+            for v in some[_jaccard(grams[u], [grams[k] for k in some]) >= similarity - 1e-9]:
+                if part[v] != part[u]:
+                    links.append((int(node[u]), int(node[v])))
+                    part[part == part[v]] = part[u]
+            hit = hit[part[hit] != part[u]]
+    return links
+
+
+def _settled(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            rows = pa.Table.from_batches(held) if held else None
+            if rows is None or not rows.num_rows:
+                continue
+            group = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+            starts = np.flatnonzero(np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(axis=0))))
+            ends = [*starts[1:], rows.num_rows]
+            whole = len(starts) if batch is None else len(starts) - 1
+            links = [x for i, j in zip(starts[:whole], ends[:whole]) for x in block_links(rows.slice(i, j - i), similarity)]
+            held = [] if batch is None else rows.slice(starts[-1]).to_batches()
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def dealt_blocks(bands: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (key, node, part, ...) of band keys that hold more than one part,
+    dealt to pairs of blocks (i, j) of ``block_rows`` rows: a key of one block
+    goes there once, a larger one to as many pairs as every two of its rows
+    need to meet in one."""
+    sizes = bands.groupBy("key").agg(F.count("*").alias("_n"), F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a <> _z")
+    blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    rows = spread_join(bands, sizes.select("key", blocks.alias("_k")), ["key"], F.col("node"))
+    b = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    up = F.transform(F.sequence(b, F.col("_k") - 1), lambda j: F.struct(b.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    down = F.when(b > 0, F.transform(F.sequence(F.lit(0), b - 1), lambda i: F.struct(i.alias("i"), b.alias("j"), F.lit(1).alias("side"))))
+    pairs = F.concat(up, F.coalesce(down, F.array().cast("array<struct<i:int,j:int,side:int>>")))
+    return rows.withColumn("_p", F.explode(pairs)).select("*", "_p.i", "_p.j", "_p.side").drop("_p", "_k")
+
+
 def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets in ``grams`` (node, grams) are alike.
 
@@ -156,15 +224,16 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
     return full.select("a", "b", "ga", "gb").mapInArrow(_alike(similarity), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, node, component_id) for every row of ``docs``; the component of
     a null doc_id is null.
 
     Rows of equal shingle sets are one node. Nodes link at a Jaccard similarity
     of ``similarity`` or more; component_id is the smallest doc_id reachable.
-    First every band joins its rows to its first one; what is then still apart
-    is compared pair by pair: a group that the first links join makes few pairs,
-    one that lies about the similarity makes many.
+    First every band joins its rows to its first one. Bands whose rows are then
+    still apart are compared in blocks that hold the shingles: every pair that
+    shares a band is looked at, but only links that join come out, so the rows
+    of a large group grow with its size and not with its pairs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -174,21 +243,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     nodes = scratch.table(rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("keys").alias("keys")), "nodes")
     bands = nodes.select("node", "s0", "s1", F.explode("keys").alias("key"))
 
-    def pairs(choose: Callable, part: DataFrame | None) -> DataFrame:
-        split = bands.withColumn("part", F.col("node")) if part is None else bands.join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        dealt = split.select("key", "node", "s0", "s1", "part").repartition(parts, "key").sortWithinPartitions("key", "node")
-        return scratch.table(dealt.mapInArrow(_pairs(choose), "a long, b long").distinct(), "pairs")
-
-    def alike(found: DataFrame) -> DataFrame:
-        ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
+    def shingled(ends: DataFrame) -> DataFrame:
+        """(node, grams) of some nodes, from the row with the smallest doc_id."""
         one = rows.select("node", "doc_id", "grams").join(nodes.select("node", F.col("least").alias("doc_id")).join(ends, "node", "left_semi"), ["node", "doc_id"]).dropDuplicates(["node"])
-        return scratch.table(verified(found, scratch.table(one.select("node", "grams"), "grams"), similarity), "links")
+        return scratch.table(one.select("node", "grams"), "grams")
 
-    links = alike(pairs(_first_pairs, None))
+    bands = nodes.select("node", "s0", "s1", F.explode("keys").alias("key"))
+    met = bands.withColumn("part", F.col("node")).select("key", "node", "s0", "s1", "part").repartition(parts, "key").sortWithinPartitions("key", "node")
+    first = scratch.table(met.mapInArrow(_pairs(_first_pairs), "a long, b long").distinct(), "pairs")
+    ends = first.select(F.col("a").alias("node")).unionAll(first.select(F.col("b").alias("node"))).distinct()
+    links = scratch.table(verified(first, shingled(ends), similarity), "links")
     found = scratch.table(connected_components(links, scratch), "components")
-    more = pairs(_other_pairs, found)
-    if not more.isEmpty():
-        found = scratch.table(connected_components(links.unionAll(alike(more)), scratch), "components")
+    parted = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component", "least")
+    split = scratch.table(dealt_blocks(parted.select("node", "s0", "s1", "part", F.posexplode("keys").alias("band", "key")), block_rows), "split")
+    if not split.isEmpty():
+        grams = shingled(split.select("node").distinct()).join(nodes.select("node", "keys"), "node")
+        blocks = split.join(grams, "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = blocks.select("key", "i", "j", "side", "band", "node", "s0", "s1", "part", "keys", "grams").mapInArrow(_settled(similarity), "a long, b long")
+        links = links.unionAll(scratch.table(more.distinct(), "links"))
+        found = scratch.table(connected_components(links, scratch), "components")
     named = scratch.table(nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = rows.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node", "left")

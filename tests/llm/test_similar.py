@@ -52,3 +52,50 @@ def test_a_large_group_is_one_component(spark):
     rows += [(1000 + i, " ".join(f"v{i}u{k}" for k in range(80))) for i in range(50)]
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(50))
+
+
+def _cluster(n=260):
+    """A loose group: each text changes 0 to 24 of 120 words, many lie about the similarity."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(120)]
+    out = {}
+    for i in range(n):
+        mine = list(words)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 6, 12, 24])):
+            mine[at] = f"x{rng.randrange(40)}"
+        out[i] = " ".join(mine)
+    return out
+
+
+def test_blocks_find_what_pairs_find(spark):
+    """Components of a loose group are those of all pairs, with blocks of any size."""
+    texts = _cluster()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
+    least = {i: i for i in texts}
+    links = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(40):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    parts = len(set(least.values()))
+    assert 10 < parts < len(texts)
+    for rows in (similar.BLOCK_ROWS, 7):
+        got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs, block_rows=rows).collect()}
+        # A pair at the similarity shares no band with a probability of 0.003.
+        assert sum(got[i] != least[i] for i in texts) <= 2
+
+
+def test_one_block_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = [similar.shingles(" ".join(f"w{k}" if k != at else f"x{at}" for k in range(200)).encode()) for at in (500, 20, 90, 150)]
+    sets.append(similar.shingles(" ".join(f"v{k}" for k in range(200)).encode()))
+    keys, prints = zip(*map(similar.describe, sets))
+    keys = np.array(keys)
+    keys[:, 0] = 7  # all meet under the first key
+    columns = {"key": [7] * 5, "i": [0] * 5, "j": [0] * 5, "side": [0] * 5, "band": [0] * 5, "node": [10, 11, 12, 13, 14], "s0": [int(p[0]) for p in prints], "s1": [int(p[1]) for p in prints], "part": [10, 11, 11, 13, 14], "keys": keys.tolist(), "grams": [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]}
+    links = similar.block_links(pa.table(columns), 0.8)
+    joined = {frozenset(x) for x in links}
+    assert len(joined) == 2 and not any(14 in x for x in joined)
+    assert similar.block_links(pa.table(columns | {"part": [1] * 5}), 0.8) == []
