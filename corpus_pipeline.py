@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage's rows to the shared folder and hands them to the next.
+
+All stages need doc_id, text and source, each of which may be null; a null text
+is an empty one. Other columns pass through, whatever their names, but for the
+last stage's result columns. Rows that repeat are told apart nowhere: they get
+the same verdict, and of equal doc_ids near-duplicate detection keeps one. Texts
+of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,27 +21,45 @@ from lodestack.plans.storage import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without boilerplate lines."""
+    """Documents that pass the quality rules, without boilerplate lines.
+
+    Null and empty texts have no word and go; equal rows stay or go together.
+    """
     return quality.clean(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Texts without a word are near-duplicates of each other. Rows of one doc_id
+    are one document; rows without a doc_id belong to no group and stay.
+    """
     return simhash.deduplicate(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked; ``n_chars`` follows the text.
+
+    Null texts stay null, texts without a secret stay as they are, and no row goes.
+    """
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks, shuffled."""
+    """Documents as often as their source's target weight asks, shuffled.
+
+    The weight of a source is the square root of its characters; a null source
+    is one of its own. Rows of one doc_id come equally often, rows without one
+    by their text.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every copy, after an encode and a decode."""
+    """Token counts and digests of every copy, after an encode and a decode.
+
+    A null text is empty and has no token; every row gives one.
+    """
     vocabulary = bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
 
