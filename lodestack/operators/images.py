@@ -64,14 +64,17 @@ def pick_named(descriptors: Column | str, name: str | None) -> Column:
 
 
 def resolve_nested(documents: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, digest, depth) of every document that nested indexes reach, NESTED
-    levels at most; ``documents`` (digest, text) (S11)."""
+    """(root, digest, depth) of every document that nested indexes reach;
+    ``documents`` (digest, text). An index more than NESTED levels down is
+    refused: a part of an image must not pass for the whole (S11)."""
     edges = documents.select(F.col("digest").alias("parent"), F.explode(parse_index("text")["manifests"]).alias("m")).select("parent", F.col("m.digest").alias("child"))
     step = roots.select(F.col("digest").alias("root"), "digest").withColumn("depth", F.lit(0))
     out = step
     for depth in range(1, NESTED + 1):
         step = step.join(edges, step["digest"] == edges["parent"]).select("root", F.col("child").alias("digest")).distinct().withColumn("depth", F.lit(depth))
         out = out.unionAll(step)
+    if deeper := step.join(edges, step["digest"] == edges["parent"]).first():
+        raise ValueError(f"index {deeper['digest']} lies more than {NESTED} levels down")
     return out.groupBy("root", "digest").agg(F.min("depth").alias("depth"))
 
 

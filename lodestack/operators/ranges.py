@@ -12,17 +12,28 @@ def offsets(chunks: DataFrame, file: str = "file", order: str = "ordinal") -> Da
     return chunks.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
 
 
-def read(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+#: Bytes of a stretch of a file by which chunks and requests meet.
+STRETCH = 4 << 20
+
+
+def read(chunks: DataFrame, requests: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """The parts of chunks (file, ordinal, size, start) that requests (file,
     offset, length) cover: (file, offset, ordinal, skip, take) (O01, O02).
 
     Ranges past the end are cut; a negative offset or length is refused and
-    covers nothing.
+    covers nothing. Chunks and requests meet by file and stretch, so a request
+    only sees the chunks near it; a pair that meets in several stretches counts
+    in the one where it begins to overlap.
     """
-    asked = requests.filter("offset >= 0 and length > 0").select("file", "offset", "length")
-    hit = chunks.join(asked, "file").filter("start < offset + length and start + size > offset")
+    ends = chunks.groupBy("file").agg(F.max(F.col("start") + F.col("size")).alias("_end"))
+    asked = requests.filter("offset >= 0 and length > 0").select("file", "offset", "length").join(ends, "file").filter("offset < _end")
+    asked = asked.withColumn("_stop", F.col("offset") + F.least(F.col("length"), F.col("_end") - F.col("offset"))).drop("length", "_end")
+    at = lambda x: F.floor(x / F.lit(stretch))
+    asked = asked.withColumn("_at", F.explode(F.sequence(at(F.col("offset")), at(F.col("_stop") - 1))))
+    parts = chunks.select("file", "ordinal", "size", "start").filter("size > 0").withColumn("_at", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("size") - 1))))
+    hit = parts.join(asked, ["file", "_at"]).filter("start < _stop and start + size > offset").filter(F.col("_at") == at(F.greatest("start", "offset")))
     skip = F.greatest(F.col("offset") - F.col("start"), F.lit(0))
-    take = F.least(F.col("start") + F.col("size"), F.col("offset") + F.col("length")) - F.greatest("start", "offset")
+    take = F.least(F.col("start") + F.col("size"), F.col("_stop")) - F.greatest("start", "offset")
     return hit.select("file", "offset", "ordinal", skip.alias("skip"), take.alias("take"))
 
 

@@ -31,15 +31,17 @@ def diff(before: DataFrame, after: DataFrame, prefix: str | None = None) -> Data
     return out.withColumn("size_delta", F.coalesce("new_size", F.lit(0)) - F.coalesce("old_size", F.lit(0)))
 
 
-def changed_roots(before: DataFrame, after: DataFrame, on: str = "root") -> DataFrame:
-    """Roots (root, digest) whose digests differ: what a diff needs to flatten at all."""
-    return before.join(after.withColumnRenamed("digest", "other"), on, "full_outer").filter(~F.col("digest").eqNullSafe(F.col("other"))).select(on)
-
-
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Paths that both sides changed, and whether they agree: two diffs joined on the path."""
-    mine, other = (diff(base, x).groupBy("path").agg(F.max("new_target").alias(n)) for x, n in ((ours, "ours"), (theirs, "theirs")))
-    return mine.join(other, "path").withColumn("conflict", ~F.col("ours").eqNullSafe(F.col("theirs")))
+    """(path, conflict, kind, target, mode, size) of the merged version, and of
+    paths that both sides changed in different ways, whose other columns are
+    null. What one side alone changed or removed counts; a path that both
+    removed, or one removed while the other left it alone, is gone."""
+    side = lambda rows, n: rows.select("path", F.struct("kind", "target", "mode").alias(f"{n}_what"), F.col("size").alias(f"{n}_size"))
+    both = side(base, "o").join(side(ours, "a"), "path", "full_outer").join(side(theirs, "b"), "path", "full_outer")
+    old, a, b = F.col("o_what"), F.col("a_what"), F.col("b_what")
+    conflict = ~a.eqNullSafe(b) & ~a.eqNullSafe(old) & ~b.eqNullSafe(old)
+    both = both.withColumns({"conflict": conflict, "what": F.when(~conflict, F.when(a.eqNullSafe(old), b).otherwise(a)), "size": F.when(~conflict, F.when(a.eqNullSafe(old), F.col("b_size")).otherwise(F.col("a_size")))})
+    return both.filter(F.col("conflict") | F.col("what").isNotNull()).select("path", "conflict", "what.kind", "what.target", "what.mode", "size")
 
 
 def summary(changes: DataFrame, *by: str) -> DataFrame:

@@ -370,15 +370,14 @@ def branch_exclusive_bytes(v: Views) -> DataFrame:
 
 @query(""", lg AS (SELECT env, seq - 20 AS "before", seq AS "after", written_at_us AS at_us FROM objects WHERE seq % 40 = 0),
 r AS (SELECT env, max(seq) AS node FROM objects GROUP BY env UNION ALL SELECT env, "before" FROM lg WHERE at_us >= 400000 UNION ALL SELECT env, "after" FROM lg WHERE at_us >= 400000),
-walk AS (SELECT env, node FROM r WHERE node IS NOT NULL UNION SELECT env, node - 20 FROM walk WHERE node >= 20 AND node < 20000 AND node % 20 < 10 AND node - 20 > 300)
+walk AS (SELECT env, node FROM r WHERE node IS NOT NULL UNION SELECT env, node - 20 FROM walk WHERE node IN (SELECT seq FROM objects) AND node % 20 < 10 AND node - 20 > 300)
 SELECT env, node AS name FROM walk""", "objects", True)
 def keepset_rebuild(v: Views) -> DataFrame:
     """All environments in one loop."""
     o = v.objects()
     refs = o.groupBy("env").agg(F.max("seq").alias("target"))
     log = o.filter("seq % 40 = 0").select("env", (F.col("seq") - 20).alias("before"), F.col("seq").alias("after"), F.col("written_at_us").alias("at_us"))
-    ids = v.spark.range(0, 20_000)
-    edges = ids.filter("id >= 20 and id % 20 < 10 and id - 20 > 300").select(F.col("id").alias("parent"), (F.col("id") - 20).alias("child"))
+    edges = o.filter("seq % 20 < 10 and seq - 20 > 300").select(F.col("seq").alias("parent"), (F.col("seq") - 20).alias("child"))
     return graph.keepsets(refs, log, edges, 400_000)
 
 

@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import chunking, codec, compression
-from lodestack.operators import access, images, oplog, queue, store, trees, versions
+from lodestack.operators import access, images, oplog, publish, queue, store, trees, versions
 from lodestack.plans.catalogue import query
+from lodestack.plans.storage import Scratch
 from lodestack.plans.views import Views
 from lodestack.sources import feed as feed_source
 from lodestack.streaming import feed
 
 
-@query(""", m AS (SELECT a.path, max(CASE WHEN b.target IS DISTINCT FROM a.target OR b.mode IS DISTINCT FROM a.mode OR b.kind IS DISTINCT FROM a.kind THEN 1 ELSE 0 END) AS ch FROM paths_a a LEFT JOIN paths_b b USING (path) GROUP BY 1)
-SELECT count(*) AS n FROM m WHERE ch = 1""", "paths_a paths_b")
+@query(""", c AS (SELECT path, kind, CASE WHEN size % 5 = 0 THEN sha256(target) ELSE target END AS target, mode, size FROM paths_a WHERE size % 7 <> 0),
+j AS (SELECT coalesce(a.path, b.path, c.path) AS path, {'k': a.kind, 't': a.target, 'm': a.mode} AS a, {'k': b.kind, 't': b.target, 'm': b.mode} AS b, {'k': c.kind, 't': c.target, 'm': c.mode} AS c FROM paths_a a FULL JOIN paths_b b ON a.path = b.path FULL JOIN c ON coalesce(a.path, b.path) = c.path),
+r AS (SELECT path, b IS DISTINCT FROM c AND a IS DISTINCT FROM b AND a IS DISTINCT FROM c AS conflict, CASE WHEN a IS NOT DISTINCT FROM b THEN c ELSE b END AS x FROM j)
+SELECT path, conflict, CASE WHEN NOT conflict THEN x.k END AS kind, CASE WHEN NOT conflict THEN x.t END AS target FROM r WHERE conflict OR x.k IS NOT NULL""", "paths_a paths_b")
 def three_way_merge(v: Views) -> DataFrame:
-    """Beyond the reference: both sides made the same changes, so paths of the base meet without conflict."""
-    a, b = v.paths("a"), v.paths("b")
-    return versions.merge(a, b, b).filter("not conflict").join(a.select("path"), "path", "left_semi").agg(F.count("*").alias("n"))
+    """Beyond the reference: one side edits, moves and removes, the other edits and removes other paths; some meet."""
+    a = v.paths("a")
+    theirs = a.filter("size % 7 <> 0").withColumn("target", F.when(F.col("size") % 5 == 0, F.sha2("target", 256)).otherwise(F.col("target")))
+    rows = versions.merge(a, v.paths("b"), theirs)
+    return rows.select("path", "conflict", F.when(~F.col("conflict"), F.col("kind")).alias("kind"), F.when(~F.col("conflict"), F.col("target")).alias("target"))
 
 
 @query('SELECT env, min(op_sequence) AS op_sequence, arg_min(status, op_sequence) AS status FROM queue GROUP BY env', "queue")
@@ -158,7 +163,7 @@ def change_prefix(v: Views) -> DataFrame:
 
 def _images(v: Views) -> DataFrame:
     """A manifest and a config for each order, a layer for each line; one order in ten lacks a diff_id."""
-    line = v.table("lineitem").filter("l_orderkey < 2000").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").alias("x"))
+    line = v.table("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").alias("x"))
     rows = line.groupBy(F.col("l_orderkey").alias("image")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     media = lambda x: F.when(x["l_returnflag"] == "A", images.LAYER_TAR).when(x["l_returnflag"] == "N", f"{images.LAYER_TAR}+gzip").otherwise(f"{images.LAYER_TAR}+zstd")
     layer = F.transform("xs", lambda x: F.struct(media(x).alias("mediaType"), F.concat(F.lit("sha256:"), x["l_partkey"]).alias("digest"), x["l_quantity"].cast("long").alias("size")))
@@ -168,7 +173,7 @@ def _images(v: Views) -> DataFrame:
 
 
 _LAYERS = """WITH x AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) - 1 AS ordinal, 'sha256:' || l_partkey AS digest, CAST(l_quantity AS BIGINT) AS size,
- CASE l_returnflag WHEN 'A' THEN 'none' WHEN 'N' THEN 'gzip' ELSE 'zstd' END AS compression, 'diff:' || l_suppkey AS diff_id FROM lineitem WHERE l_orderkey < 2000)"""
+ CASE l_returnflag WHEN 'A' THEN 'none' WHEN 'N' THEN 'gzip' ELSE 'zstd' END AS compression, 'diff:' || l_suppkey AS diff_id FROM lineitem)"""
 
 
 @query(_LAYERS + " SELECT image, CAST(ordinal AS INTEGER) AS ordinal, digest, size, compression, diff_id, false AS failed FROM x WHERE image % 10 <> 0 UNION ALL SELECT DISTINCT image, NULL, NULL, NULL, NULL, NULL, true FROM x WHERE image % 10 = 0")
@@ -187,11 +192,10 @@ def image_summary(v: Views) -> DataFrame:
     return images.ingest_summary(images.layers(_images(v)).filter("error is null"), known)
 
 
-@query("""SELECT image, CASE WHEN n > 0 THEN true ELSE false END AS has_plain, len FROM (SELECT l_orderkey AS image, count(*) AS n, count(*) AS len FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)""")
+@query(_LAYERS + """ SELECT image, '{"schemaVersion":2,"layers":[' || string_agg('{"mediaType":"application/vnd.oci.image.layer.v1.tar","digest":"' || digest || '","size":' || size || '}', ',' ORDER BY ordinal) || ']}' AS manifest FROM x GROUP BY image""")
 def rewritten_manifests(v: Views) -> DataFrame:
-    """After the rewrite every layer is a plain tar."""
-    rows = images.rewrite_media_types(_images(v)).select("image", images.parse_manifest("manifest")["layers"].alias("l"))
-    return rows.select("image", F.forall("l", lambda x: x["mediaType"] == images.LAYER_TAR).alias("has_plain"), F.size("l").cast("long").alias("len"))
+    """After the rewrite every layer is a plain tar, and nothing else has changed."""
+    return images.rewrite_media_types(_images(v)).select("image", "manifest")
 
 
 def _index(v: Views) -> DataFrame:
@@ -249,13 +253,13 @@ def merged_annotations(v: Views) -> DataFrame:
 def _tagged(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = v.table("orders")
     refs = o.select((F.col("o_custkey") % 100).alias("env"), F.col("o_orderkey").alias("ref"), (F.col("o_orderkey") % 3000).alias("target"))
-    commits = o.filter("o_orderkey < 2500").select(F.col("o_orderkey").alias("commit"), (F.col("o_orderkey") % 700).alias("tree"))
-    paths = v.table("lineitem").filter("l_orderkey < 700").select(F.col("l_orderkey").alias("tree"), F.concat(F.lit("images/"), (F.col("l_partkey") % 50).cast("string")).alias("path"), (F.col("l_suppkey") % 40).alias("digest")).distinct()
+    commits = o.select(F.col("o_orderkey").alias("commit"), (F.col("o_orderkey") % 700).alias("tree"))
+    paths = v.table("lineitem").select(F.col("l_orderkey").alias("tree"), F.concat(F.lit("images/"), (F.col("l_partkey") % 50).cast("string")).alias("path"), (F.col("l_suppkey") % 40).alias("digest")).distinct()
     return refs, commits, paths
 
 
-_TAGS = """WITH refs AS (SELECT o_custkey % 100 AS env, o_orderkey AS ref, o_orderkey % 3000 AS target FROM orders), cs AS (SELECT o_orderkey AS c, o_orderkey % 700 AS tree FROM orders WHERE o_orderkey < 2500),
-ps AS (SELECT DISTINCT l_orderkey AS tree, 'images/' || l_partkey % 50 AS path, l_suppkey % 40 AS digest FROM lineitem WHERE l_orderkey < 700) """
+_TAGS = """WITH refs AS (SELECT o_custkey % 100 AS env, o_orderkey AS ref, o_orderkey % 3000 AS target FROM orders), cs AS (SELECT o_orderkey AS c, o_orderkey % 700 AS tree FROM orders),
+ps AS (SELECT DISTINCT l_orderkey AS tree, 'images/' || l_partkey % 50 AS path, l_suppkey % 40 AS digest FROM lineitem) """
 
 
 @query(_TAGS + "SELECT env, ref FROM refs JOIN cs ON c = target WHERE tree IN (SELECT tree FROM ps WHERE path = 'images/7')")
@@ -304,12 +308,42 @@ def tree_edit(v: Views) -> DataFrame:
     return trees.edit(p, edits.unionAll(more))
 
 
+def _published(v: Views) -> publish.Published:
+    """Every document as a file of a tree of languages and sources."""
+    files = v.table("documents").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), F.lit("file").alias("kind"), F.when(F.col("doc_id") % 13 == 0, 493).otherwise(420).alias("mode"), F.encode("text", "utf-8").alias("content"))
+    none = v.spark.createDataFrame([], "name binary"), v.spark.createDataFrame([], "env long, ref string, target binary, generation long")
+    return publish.publish(files, *none, 1, "main", "writer", "all documents", bytes(16), 1, chunking.ChunkParams.for_average(4096), trees.Shape(8, 4, 64, 8192))
+
+
+@query("SELECT lang || '/' || source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 493 ELSE 420 END AS mode, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha FROM documents")
+def published_files(v: Views) -> DataFrame:
+    """Files published as chunks, nodes, directories and a commit, and read back from the objects alone."""
+    done = _published(v)
+    objects = Scratch(v.spark, "published").table(done.objects, "objects")
+    files = publish.checkout(objects, done.root)
+    return files.join(publish.contents(objects, files), "path").select("path", "mode", "size", F.sha2("content", 256).alias("sha"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang || '/' || source || '/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents)
+SELECT path, size FROM d WHERE doc_id % 10 NOT IN (3, 4) UNION ALL SELECT 'new/' || doc_id % 7 || '/' || path, size FROM d WHERE doc_id % 10 = 4 UNION ALL SELECT lang || '/top', 0 FROM (SELECT DISTINCT lang FROM documents)""")
+def edited_tree(v: Views) -> DataFrame:
+    """A tenth of the files goes, a tenth moves to new directories, a file is added to each top directory."""
+    done = _published(v)
+    objects = Scratch(v.spark, "edited").table(done.objects, "objects")
+    files = publish.checkout(objects, done.root).withColumn("doc", F.substring_index("path", "/", -1).cast("long"))
+    gone = files.filter("doc % 10 in (3, 4)").select(F.lit(1).alias("seq"), "path", F.lit("remove").alias("op"), "kind", "target", "mode", "size")
+    new = files.filter("doc % 10 = 4").select(F.lit(1).alias("seq"), F.concat(F.lit("new/"), (F.col("doc") % 7).cast("string"), F.lit("/"), "path").alias("path"), F.lit("set").alias("op"), "kind", "target", "mode", "size")
+    top = files.select(F.substring_index("path", "/", 1).alias("t")).distinct().select(F.lit(2).alias("seq"), F.concat("t", F.lit("/top")).alias("path"), F.lit("set").alias("op"), F.lit(codec.FILE).alias("kind"), F.lit(publish._name(publish.EMPTY_BLOB)).alias("target"), F.lit(420).alias("mode"), F.lit(0).cast("long").alias("size"))
+    root, nodes = publish.edit(objects, done.root, gone.unionAll(new).unionAll(top), trees.Shape(8, 4, 64, 8192))
+    return publish.checkout(objects.drop("created").unionByName(nodes).dropDuplicates(["name"]), root).select("path", "size")
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS sha FROM documents")
 def chunk_reassembly(v: Views) -> DataFrame:
     """The chunks in order make up the text."""
     chunks = chunking.chunk(v.table("documents"), "doc_id", "text", chunking.ChunkParams.for_average(1024))
-    whole = chunks.groupBy("doc_id").agg(F.sum("length").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ordinal", "data"))).alias("c"))
-    return whole.select("doc_id", "n_bytes", F.sha2(F.aggregate("c", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["data"])), 256).alias("sha"))
+    whole = chunks.groupBy("doc_id").agg(F.sum("length").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ordinal", F.hex("data").alias("data")))).alias("c"))
+    return whole.select("doc_id", "n_bytes", F.sha2(F.unhex(F.array_join(F.transform("c", lambda x: x["data"]), "")), 256).alias("sha"))
 
 
 @query()

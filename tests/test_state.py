@@ -126,13 +126,88 @@ def test_selectors(spark):
     assert [r.m for r in ops] == [9, None, 0]
 
 
-def test_permits_joins_and_broadcasts_alike(spark, monkeypatch):
+def test_permits_join_by_equalities(spark):
     envs = spark.createDataFrame([(1, "org/a", {"t": "x"}), (2, "org/b", {}), (3, "other/a", {"t": "x"})], "env long, name string, labels map<string,string>")
-    grants = spark.createDataFrame([("p", 1, None, "name:org/*"), ("p", 1, 3, "labels:"), ("q", 2, None, "labels:"), ("r", 1, None, "id:2"), ("r", 1, 1, "labels:t=x"), ("s", 1, 2, "labels:t=x"), ("t", 1, None, "labels:t=x")], "principal string, ops int, pin long, selector string")
+    grants = spark.createDataFrame([("p", 1, None, "name:org/*"), ("p", 1, 3, "labels:"), ("q", 2, None, "labels:"), ("r", 1, None, "id:2"), ("r", 1, 1, "labels:t=x"), ("s", 1, 2, "labels:t=x"), ("t", 1, None, "labels:t=x"), ("u", 1, None, "labels:t=y,z=1")], "principal string, ops int, pin long, selector string")
     want = sorted([("p", 1), ("p", 2), ("p", 3), ("r", 2), ("r", 1), ("t", 1), ("t", 3)])
-    assert sorted((r.principal, r.env) for r in access.permits(grants, envs, 1).collect()) == want
-    monkeypatch.setattr(access, "BROADCAST_GRANTS", 0)
-    assert sorted((r.principal, r.env) for r in access.permits(grants, envs, 1).collect()) == want
+    found = access.permits(grants, envs, 1)
+    assert sorted((r.principal, r.env) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_globs_match_as_fnmatch(spark):
+    import fnmatch
+    import random
+
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("ab/c.") for _ in range(rng.randint(1, 16))) for _ in range(150)})
+    globs = sorted({"".join(rng.choice(["a", "b", "/", "c", ".", "*", "*", "?", "[ab]", "[!a]"]) for _ in range(rng.randint(1, 9))) for _ in range(200)} | {"*", "?", names[0], "a*", "*a", "b" * 20 + "*"})
+    got = access.glob_matches(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in globs], "pattern string"))
+    assert sorted((r.name, r.pattern) for r in got.collect()) == sorted((n, g) for n in names for g in globs if fnmatch.fnmatchcase(n, g))
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_by_stretches_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    sizes = {f: [rng.choice([0, 1, 7, 64, 300]) for _ in range(rng.randint(1, 30))] for f in range(6)}
+    c = ranges.offsets(spark.createDataFrame([(f, k, n) for f, s in sizes.items() for k, n in enumerate(s)], "file long, ordinal int, size long"))
+    asked = sorted({(f, rng.randint(0, 3000), rng.choice([1, 5, 64, 1000, 1 << 62])) for f in range(7) for _ in range(20)})
+    asked = list({(f, o): (f, o, n) for f, o, n in asked}.values())
+    got = ranges.read(c, spark.createDataFrame(asked, "file long, offset long, length long"), stretch=64)
+    want = []
+    for f, o, n in asked:
+        start = 0
+        for k, size in enumerate(sizes.get(f, [])):
+            lo, hi = max(start, o), min(start + size, o + n)
+            if lo < hi:
+                want.append((f, o, k, lo - start, hi - lo))
+            start += size
+    assert sorted((r.file, r.offset, r.ordinal, r.skip, r["take"]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("plain", [0, 2])
+def test_deep_graphs_are_contracted(spark, monkeypatch, plain):
+    """Long histories with branches and merges, entered at many places, against a plain search."""
+    import random
+    from collections import deque
+
+    rng = random.Random(plain)
+    edges = {(i, i + 1) for i in range(0, 90) if i not in (30, 61)} | {(30, 200), (30, 31), (200, 201), (201, 40), (61, 300), (70, 75), (10, 85), (300, 301), (301, 302)}
+    edges |= {(1000 + i, 1000 + i + rng.randint(1, 3)) for i in range(40) for _ in range(2)}
+    roots = [(1, 0), (1, 50), (1, 33), (2, 61), (3, 200), (3, 60), (4, 999), (5, 1000), (5, 1007), (6, 45), (6, 20)]
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", plain)
+    monkeypatch.setattr(graph, "COMPACT", 2)
+    want = {}
+    for start in {s for s, _ in roots}:
+        todo = deque((n, 0) for s, n in roots if s == start)
+        while todo:
+            n, d = todo.popleft()
+            if want.get((start, n), 1 << 30) <= d:
+                continue
+            want[start, n] = d
+            todo.extend((c, d + 1) for p, c in edges if p == n)
+    got = graph.reach(spark.createDataFrame(roots, "start long, node long"), spark.createDataFrame(sorted(edges), "parent long, child long")).collect()
+    assert {(r.start, r.node): r.depth for r in got} == want and len(got) == len(want)
+
+
+def test_a_long_history_takes_few_rounds(spark):
+    chain = spark.range(0, 3000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    got = graph.reach(spark.createDataFrame([(1, 0)], "start long, node long"), chain, bound=40)
+    assert got.count() == 3001 and got.agg(F.max("depth")).first()[0] == 3000
+
+
+def test_merges_of_three_sides(spark):
+    side = lambda **files: spark.createDataFrame([(p, "file", t, 420, 1) for p, t in files.items()], "path string, kind string, target string, mode int, size long")
+    base = side(same="0", mine="0", theirs="0", both="0", apart="0", gone="0", cut="0", fight="0")
+    ours = side(same="0", mine="1", theirs="0", both="2", apart="1", gone="0", fight="1", new="1", twice="3")
+    theirs = side(same="0", mine="0", theirs="1", both="2", apart="2", cut="0", twice="3", clash="x")
+    ours = ours.unionByName(side(clash="y"))
+    got = {r.path: r.target or r.conflict for r in versions.merge(base, ours, theirs).collect()}
+    assert got == {"same": "0", "mine": "1", "theirs": "1", "both": "2", "apart": True, "fight": True, "new": "1", "twice": "3", "clash": True}
 
 
 def test_ranges_clamp_and_refuse(spark):
@@ -154,11 +229,14 @@ def test_paths_resolve(spark):
     assert got == {"a/b/c": ("file", None), "a": ("directory", None), "a/d/x": ("not a directory", None), "a/q/z": ("not found", "q"), "w": ("not found", "w")}
 
 
-def test_nested_indexes_stop_at_four(spark):
+def test_nested_indexes_beyond_four_levels_are_refused(spark):
     doc = lambda *d: '{"manifests":[' + ",".join(f'{{"digest":"{x}"}}' for x in d) + "]}"
-    docs = spark.createDataFrame([("d0", doc("d1", "e")), ("d1", doc("d2")), ("d2", doc("d3")), ("d3", doc("d4")), ("d4", doc("d5")), ("e", "not json")], "digest string, text string")
+    docs = spark.createDataFrame([("d0", doc("d1", "e")), ("d1", doc("d2")), ("d2", doc("d3")), ("d3", doc("d4")), ("d4", "a manifest"), ("e", "not json")], "digest string, text string")
     got = {r.digest: r.depth for r in images.resolve_nested(docs, docs.filter("digest = 'd0'")).collect()}
     assert got == {"d0": 0, "d1": 1, "e": 1, "d2": 2, "d3": 3, "d4": 4}
+    deeper = docs.filter("digest <> 'd4'").unionAll(spark.createDataFrame([("d4", doc("d5"))], docs.schema))
+    with pytest.raises(ValueError):
+        images.resolve_nested(deeper, deeper.filter("digest = 'd0'"))
 
 
 def test_layers_of_unequal_lists(spark):
