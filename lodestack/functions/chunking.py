@@ -9,7 +9,7 @@ the positions whose window would reach before the chunk's start one by one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -61,39 +61,58 @@ def windows(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: bytes, params: ChunkParams, table: np.ndarray | None = None) -> list[int]:
-    """Chunk ends of a byte string; none for an empty one."""
+    """Chunk ends of a byte string; none for an empty one.
+
+    Positions that either mask accepts are found once for the whole string. Near
+    a chunk's first possible end the window reaches back before the place where
+    the hash begins anew: there the part before it is taken off again.
+    """
     table = gear_table() if table is None else table
-    raw = np.frombuffer(data, np.uint8)
-    full = windows(raw, table) if len(raw) > params.smallest else None
-    strict, loose = np.uint64(params.strict), np.uint64(params.loose)
-    ends, start, n = [], 0, len(raw)
+    raw, n = np.frombuffer(data, np.uint8), len(data)
+    strict, loose, zero = np.uint64(params.strict), np.uint64(params.loose), np.uint64(0)
+    full = windows(raw, table) if n > params.smallest else np.empty(0, np.uint64)
+    at = {mask: np.flatnonzero((full & mask) == zero) for mask in (strict, loose)}
+    shift = np.arange(1, _WINDOW, dtype=np.uint64)
+    ends, start = [], 0
     while start < n:
-        ends.append(start + _cut(raw, full, start, min(n - start, params.largest), params, table, strict, loose))
-        start = ends[-1]
+        stop = min(start + params.largest, n)
+        if stop - start > params.smallest:
+            low = start + params.smallest
+            normal, near = min(start + params.average, stop), min(low + _WINDOW - 1, stop)
+            head = full[low:near] - (full[low - 1] << shift[: near - low])
+            stop = _first(head, at, low, near, ((low, normal, strict), (normal, stop, loose)), stop)
+        ends.append(stop)
+        start = stop
     return ends
 
 
-def _cut(raw, full, start, end, params, table, strict, loose) -> int:
-    if end <= params.smallest:
-        return end
-    low, normal = params.smallest, min(params.average, end)
-    # The hash begins anew at ``low``: the first windows are shorter than 64.
-    part = raw[start + low : start + min(low + _WINDOW - 1, end)]
-    head = windows(part, table)
-    for first, last, mask in ((low, normal, strict), (normal, end, loose)):
-        if first >= last:
-            continue
-        short = min(last, low + len(head))
-        if first < short:
-            found = np.flatnonzero((head[first - low : short - low] & mask) == 0)
+def _first(head, at, low, near, spans, stop) -> int:
+    """The first accepted position of the spans (first, last, mask)."""
+    for first, last, mask in spans:
+        if first < min(last, near):
+            found = np.flatnonzero((head[first - low : min(last, near) - low] & mask) == 0)
             if len(found):
                 return first + int(found[0])
-        begin = max(first, low + len(head))
-        if begin < last:
-            found = np.flatnonzero((full[start + begin : start + last] & mask) == 0)
-            if len(found):
-                return begin + int(found[0])
-    return end
+        k = int(np.searchsorted(at[mask], max(first, near)))
+        if k < len(at[mask]) and at[mask][k] < last:
+            return int(at[mask][k])
+    return stop
+
+
+def chunk_stream(read: Callable[[int], bytes], params: ChunkParams, read_size: int | None = None) -> Iterator[bytes]:
+    """The chunks of a stream (``read`` of a size, empty at its end), the same
+    as ``cuts`` makes of all its bytes (C03). An end never lies beyond the
+    largest chunk, so no more than that and one read is held."""
+    size = read_size or 4 * params.largest
+    held, more = b"", True
+    while held or more:
+        while more and len(held) < params.largest:
+            block = read(size)
+            more, held = bool(block), held + block
+        if held:
+            end = cuts(held[: params.largest], params)[0]
+            yield held[:end]
+            held = held[end:]
 
 
 def chunk(rows: DataFrame, key: str, content: str, params: ChunkParams = PRODUCTION) -> DataFrame:

@@ -20,7 +20,36 @@ def snapshot(catalog: DataFrame, keepset: DataFrame, envs: DataFrame, tombstones
     return reduce(DataFrame.unionAll, parts)
 
 
+#: What a gauge says, and from where on it deserves a look.
+DESCRIBED = {
+    "corpus_objects": ("Objects that the catalogue holds.", None),
+    "corpus_bytes": ("Bytes of those objects.", None),
+    "live_objects": ("Different objects that some environment keeps.", None),
+    "kept_references": ("Rows of all keep-sets.", None),
+    "references_per_object": ("Environments that share a kept object, on average.", "below 1.1"),
+    "environments": ("Environments that exist.", None),
+    "tombstones": ("Swept names that must not be deduplicated against yet.", None),
+    "queue_depth": ("Builds that wait.", "above 1000"),
+}
+
+
+def counters(increments: DataFrame) -> DataFrame:
+    """(metric, value) of counters: all increments (metric, by) so far. They
+    only go up; a negative increment is refused, that is left out (A14)."""
+    return increments.filter("by >= 0").groupBy("metric").agg(F.sum("by").cast("double").alias("value"))
+
+
+def described(rows: DataFrame, kind: str = "gauge") -> DataFrame:
+    """(metric, value) with kind, help and ``investigate`` of DESCRIBED."""
+    known = F.create_map(*[F.lit(x) for k, (text, when) in DESCRIBED.items() for x in (k, F.struct(F.lit(text).alias("help"), F.lit(when).cast("string").alias("investigate")))])
+    about = F.element_at(known, F.col("metric"))
+    return rows.select("metric", "value", F.lit(kind).alias("kind"), about["help"].alias("help"), about["investigate"].alias("investigate"))
+
+
 def render(rows: DataFrame, prefix: str = "lodestack_") -> DataFrame:
-    """Prometheus lines of (metric, value) rows."""
+    """Prometheus text of (metric, value) rows, and kind, help and investigate
+    where they exist: HELP, TYPE and threshold lines before the value (A15)."""
     name = F.concat(F.lit(prefix), F.col("metric"))
-    return rows.select("metric", F.concat(F.lit("# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), metric_number("value")).alias("text"))
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    lines = [F.concat(F.lit("# HELP "), name, F.lit(" "), has("help")), F.concat(F.lit("# TYPE "), name, F.lit(" "), F.coalesce(has("kind"), F.lit("gauge"))), F.concat(F.lit("# investigate when "), has("investigate")), F.concat(name, F.lit(" "), metric_number("value"))]
+    return rows.select("metric", F.concat_ws("\n", *lines).alias("text"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,12 +108,6 @@ def replay_updates(updates: DataFrame) -> DataFrame:
     return updates.select(*names).groupBy("env", "ref").applyInPandas(run, f"{kinds}, verdict string, generation long")
 
 
-def fold_groups(groups: Iterator[tuple[tuple, pd.DataFrame]]) -> Iterator[tuple[tuple, list[str]]]:
-    """Verdicts of groups of updates, for callers without Spark."""
-    for key, group in groups:
-        yield key, fold_updates(None, group)[1]
-
-
 def open_sessions(sessions: DataFrame, pages: DataFrame, now: int) -> DataFrame:
     """Sessions renewable at ``now`` with their recorded names, repeats once."""
     names = pages.groupBy("session").agg(F.countDistinct("name").alias("n_names"))
@@ -127,6 +119,37 @@ def fork(refs: DataFrame, env: object, new_env: object) -> DataFrame:
     return refs.filter(F.col("env") == F.lit(env)).select(F.lit(new_env).alias("env"), "ref", "target", F.lit(1).cast("long").alias("generation"))
 
 
+def revert(log: DataFrame, commits: DataFrame, requests: DataFrame) -> DataFrame:
+    """Log rows of requests (env, ref, to) that set a ref back to an earlier
+    commit (V16): numbered after the environment's last, ``before`` is what the
+    ref names now. A target that is no commit (node) or not the same ref's past
+    is left out; no content moves."""
+    past = log.select("env", "ref", F.col("after").alias("to")).distinct()
+    last = log.groupBy("env").agg(F.max("sequence").alias("_n"))
+    fine = requests.join(commits.select(F.col("node").alias("to")), "to", "left_semi").join(past, ["env", "ref", "to"], "left_semi")
+    rows = fine.join(refs(log).select("env", "ref", F.col("target").alias("before")), ["env", "ref"], "left").join(last, "env")
+    order = Window.partitionBy("env").orderBy("ref", "to")
+    return rows.select("env", (F.col("_n") + F.row_number().over(order)).alias("sequence"), "ref", "before", F.col("to").alias("after"))
+
+
+def create_branches(refs_now: DataFrame, requests: DataFrame, default_ref: str, now: int) -> DataFrame:
+    """Ref rows of requests (env, ref, target, ttl_days) (V18): a null target is
+    that of the default ref, a time to live becomes an expiry, and a ref that
+    exists or has no target is left out."""
+    base = refs_now.filter(F.col("ref") == default_ref).select("env", F.col("target").alias("_t"))
+    rows = requests.join(base, "env", "left").join(refs_now.select("env", "ref"), ["env", "ref"], "left_anti")
+    target = F.coalesce("target", "_t")
+    return rows.filter(target.isNotNull()).select("env", "ref", target.alias("target"), F.lit(1).cast("long").alias("generation"), (F.lit(now) + F.col("ttl_days") * 86_400_000_000).cast("long").alias("expires_at_us"))
+
+
+def labels_now(updates: DataFrame) -> DataFrame:
+    """State and labels of each environment (env, seq, state, labels): each
+    update replaces the whole map, and the last one that sets a field counts (V03)."""
+    pick = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))
+    keyed = updates.withColumn("labels", F.array_sort(F.map_entries("labels")))
+    return keyed.groupBy("env").agg(pick("state").alias("s"), pick("labels").alias("l")).select("env", "s.state", F.map_from_entries("l.labels").alias("labels"))
+
+
 def change_prefix(changes: DataFrame, asked: DataFrame) -> DataFrame:
     """Change ids asked for by prefix: ``change`` of an exact match, else of the
     only match; ``n_matches`` tells nothing from too many (J13).

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.plans.storage import numbered
+
 ATTEMPTS = 3
 ABANDONED_US = 2 * 3600 * 1_000_000
 TIMEOUT, LONGEST = 900, 3600
@@ -80,7 +82,41 @@ def sync(requests: DataFrame) -> DataFrame:
     keeps: ids follow the order in which keys first came (B10)."""
     one = requests.groupBy("env", "commit").agg(F.min("seq").alias("first"), F.max_by("payload", "seq").alias("payload"), F.count("*").alias("n"))
     key = F.concat_ws(":", F.lit("sync"), "env", "commit")
-    return one.select(key.alias("key"), "first", "payload", (F.col("n") > 1).alias("updated"))
+    rows = numbered(one.select(key.alias("key"), "first", "payload", (F.col("n") > 1).alias("updated")), "_k", "first", "key")
+    return rows.withColumn("platform_id", F.concat(F.lit("env-"), F.col("_k"))).drop("_k")
+
+
+def results(log: DataFrame) -> DataFrame:
+    """Build results now, from events (seq, commit, event, status): 'record'
+    writes one, the last counts; 'release' drops a claim that has not finished;
+    'invalidate' drops whatever there is (B06)."""
+    last = F.struct("seq", "status")
+    terminal = F.col("status").isin("succeeded", "failed")
+    done = log.groupBy("commit").agg(F.max(F.when((F.col("event") == "record") & terminal, last)).alias("d"), F.max(F.when((F.col("event") == "record") & ~terminal, last)).alias("c"), F.max(F.when(F.col("event") == "release", F.col("seq"))).alias("r"), F.max(F.when(F.col("event") == "invalidate", F.col("seq"))).alias("i"))
+    since = lambda x, *seqs: F.when(x["seq"] > F.greatest(F.lit(-1), *[F.coalesce(s, F.lit(-1)) for s in seqs]), x)
+    alive = F.greatest(since(F.col("d"), F.col("i")), since(F.col("c"), F.col("i"), F.col("r")))
+    return done.withColumn("a", alive).filter("a is not null").select("commit", "a.status", "a.seq")
+
+
+def turn(queue: DataFrame, leases: DataFrame, known: DataFrame, outcomes: DataFrame, now: int, limit: int) -> DataFrame:
+    """One turn of ``limit`` workers over a queue (env, op_sequence, commit,
+    enqueued_at, attempts): what becomes of each leased entry (B07).
+
+    ``known`` (commit, status, at_us) are build results, ``outcomes`` (commit,
+    status) what building would give. A finished result is used as it is, a
+    build in progress leaves the entry queued, and of several leased entries of
+    a commit one builds. A failure is recorded only with the last attempt:
+    before that the claim is released, so that the retry does not find it.
+    """
+    leased = lease(queue, leases, now, limit)
+    rows = leased.join(known.select("commit", F.col("status").alias("_s"), F.col("at_us").alias("_at")), "commit", "left").join(outcomes.select("commit", F.col("status").alias("_o")), "commit", "left")
+    first = leased.groupBy("commit").agg(F.min(F.struct("env", "op_sequence")).alias("_f"))
+    rows = rows.join(first, "commit")
+    busy = (F.col("_s") == "running") & (now - F.col("_at") < ABANDONED_US) | (F.struct("env", "op_sequence") != F.col("_f"))
+    tries = F.col("attempts") + 1
+    action = F.when(F.col("_s").isin("succeeded", "failed"), "cached").when(F.coalesce(busy, F.lit(False)), "released").when(F.col("_o") == "succeeded", "built").when(tries >= ATTEMPTS, "dropped").otherwise("retried")
+    recorded = F.when(action == "built", "succeeded").when(action == "dropped", "failed")
+    return rows.select("env", "op_sequence", "commit", action.alias("action"), recorded.alias("recorded"), F.when(action.isin("built", "dropped", "retried"), tries).otherwise(F.col("attempts")).alias("attempts"))
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:

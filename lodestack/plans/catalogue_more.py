@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import chunking, codec, compression
-from lodestack.operators import access, images, oplog, publish, queue, store, trees, versions
+from lodestack.operators import access, images, items, metrics, oplog, publish, queue, store, trees, versions
 from lodestack.plans.catalogue import query
-from lodestack.plans.storage import Scratch
+from lodestack.plans.storage import Scratch, numbered
 from lodestack.plans.views import Views
 from lodestack.sources import feed as feed_source
 from lodestack.streaming import feed
@@ -92,7 +92,7 @@ def manual_trigger(v: Views) -> DataFrame:
     return queue.trigger(log, log.filter("sequence % 2 = 0").select("env", F.col("sequence").alias("op_sequence")))
 
 
-@query("""SELECT 'sync:' || o_custkey || ':' || o_orderpriority AS key, min(o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS payload, count(*) > 1 AS updated FROM orders GROUP BY o_custkey, o_orderpriority""")
+@query("""SELECT *, 'env-' || row_number() OVER (ORDER BY first, key) AS platform_id FROM (SELECT 'sync:' || o_custkey || ':' || o_orderpriority AS key, min(o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS payload, count(*) > 1 AS updated FROM orders GROUP BY o_custkey, o_orderpriority)""")
 def platform_sync(v: Views) -> DataFrame:
     """B10."""
     return queue.sync(v.table("orders").select(F.col("o_custkey").alias("env"), F.col("o_orderpriority").alias("commit"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("payload")))
@@ -354,35 +354,58 @@ def chunk_dedup(v: Views) -> DataFrame:
     return store.tally(store.insert(rows, rows.limit(0)))
 
 
-@query("SELECT conv_id * 1000 + turn AS node, true AS same, true AS canonical, false AS padded FROM conversations")
+@query("""SELECT conv_id * 1000 + turn AS node, sha256(coalesce(text, '')) AS tree, 'writer' AS author, (conv_id * 1000 + turn) * 1000 AS at, sha256(coalesce(text, '') || '!') AS message_sha, role AS role, false AS padded, true AS same FROM conversations""")
 def codec_roundtrip(v: Views) -> DataFrame:
-    """Commits encoded, decoded and refused with a byte too many."""
+    """Commits encoded, and what decoding the bytes gives back; a byte too many is refused."""
+    import hashlib
+
     def run(batches):
         for batch in batches:
-            framed = [codec.encode(codec.Commit(bytes.fromhex(t), (bytes.fromhex(t)[::-1],), n.to_bytes(16, "big"), "writer", "writer", n * 1000, m or "", (("role", r),))) for n, t, m, r in zip(batch["node"], batch["tree"], batch["text"], batch["role"])]
-            yield batch[["node"]].assign(same=[codec.encode(codec.decode(x)) == x for x in framed], canonical=[codec.is_canonical(x) for x in framed], padded=[codec.is_canonical(x + b"\0") for x in framed])
+            framed = [codec.encode(codec.Commit(bytes.fromhex(t), (bytes.fromhex(t)[::-1],), n.to_bytes(16, "big"), "writer", "writer", n * 1000, m, (("role", r),))) for n, t, m, r in zip(batch["node"], batch["tree"], batch["text"], batch["role"])]
+            back = [codec.decode(x) for x in framed]
+            found = dict(tree=[c.tree.hex() for c in back], author=[c.author for c in back], at=[c.timestamp_us for c in back], message_sha=[hashlib.sha256(f"{c.message}!".encode()).hexdigest() for c in back], role=[dict(c.metadata)["role"] for c in back])
+            yield batch[["node"]].assign(**found, padded=[codec.is_canonical(x + b"\0") for x in framed], same=[codec.encode(c) == x for c, x in zip(back, framed)])
+
+    rows = v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("tree"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    return rows.mapInPandas(run, "node long, tree string, author string, at long, message_sha string, role string, padded boolean, same boolean")
+
 
-    rows = v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), F.sha2("text", 256).alias("tree"), "text", "role")
-    return rows.mapInPandas(run, "node long, same boolean, canonical boolean, padded boolean")
+_SPLIT = """keyed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS r, count(*) OVER (PARTITION BY g) AS total, CAST('0x' || substr(sha256(encode('lodestack.tree.split.v1') || '\\x00'::BLOB || key), 1, 15) AS BIGINT) % {period} = 0 AS ends FROM source),
+walk AS (SELECT g, r, key, total, 1 AS n, r = total OR {most} = 1 AS closed FROM keyed WHERE r = 1
+  UNION ALL SELECT k.g, k.r, k.key, k.total, CASE WHEN w.closed THEN 1 ELSE w.n + 1 END, k.r = k.total OR CASE WHEN w.closed THEN 1 ELSE w.n + 1 END >= {most} OR (CASE WHEN w.closed THEN 1 ELSE w.n + 1 END >= {least} AND k.ends) FROM walk w JOIN keyed k ON k.g = w.g AND k.r = w.r + 1)"""
 
 
-@query("SELECT lang || '/' || source AS dir, count(*) AS n_entries FROM documents GROUP BY 1")
+@query(f"""WITH RECURSIVE source AS (SELECT lang || '/' || source AS g, encode(CAST(doc_id AS VARCHAR)) AS key, CAST(doc_id AS VARCHAR) AS k FROM documents), {_SPLIT.format(period=8, least=2, most=32)}
+SELECT g AS dir, decode(key) AS last, CAST(n AS BIGINT) AS n_entries FROM walk WHERE closed""")
 def tree_nodes(v: Views) -> DataFrame:
-    """The leaves of each directory's nodes hold its entries."""
+    """The leaves of each directory, by their last entry: where they end and how many they hold."""
     rows = v.table("documents").select(F.concat_ws("/", "lang", "source").alias("dir"), F.col("doc_id").cast("string").alias("entry"), F.lit(codec.FILE).alias("kind"), F.unhex(F.sha2("text", 256)).alias("target"), F.lit(codec.REGULAR).alias("mode"), F.octet_length("text").cast("long").alias("size"))
-    made = trees.nodes(rows, trees.Shape(8, 2, 32, 4096))
-    count = F.conv(F.hex(F.substring("framed", 4, 4)), 16, 10).cast("long")
-    return made.filter("level = 0").groupBy("dir").agg(F.sum(count).alias("n_entries"))
+    made = trees.nodes(rows, trees.Shape(8, 2, 32, 4096)).filter("level = 0")
 
+    def run(batches):
+        for batch in batches:
+            nodes = [codec.decode(bytes(x)).entries for x in batch["framed"]]
+            yield batch[["dir"]].assign(last=[e[-1].name.decode() for e in nodes], n_entries=[len(e) for e in nodes])
 
-@query("SELECT file, CAST(sum(size) AS BIGINT) AS n_bytes FROM files GROUP BY file", "files")
+    return made.mapInPandas(run, "dir string, last string, n_entries long")
+
+
+@query(f"""WITH RECURSIVE files AS (SELECT l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS INTEGER) AS ordinal, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
+source AS (SELECT file AS g, ordinal AS k, unhex(sha256(file || '-' || ordinal)) AS key FROM files), {_SPLIT.format(period=4, least=2, most=8)},
+spans AS (SELECT g, r AS last, r - n + 1 AS first FROM walk WHERE closed)
+SELECT s.g AS file, CAST(last AS BIGINT) AS last, CAST(sum(size) AS BIGINT) AS n_bytes FROM spans s JOIN files f ON f.file = s.g AND f.ordinal BETWEEN first AND last GROUP BY 1, 2""")
 def blob_nodes(v: Views) -> DataFrame:
-    """The root of a file's nodes stands for its bytes."""
+    """The leaves of each file's nodes, by their last chunk: where they end and how many bytes they stand for."""
     chunks = v.files().withColumn("target", F.unhex(F.sha2(F.concat_ws("-", "file", "ordinal"), 256)))
-    made = trees.file_nodes(chunks, trees.Shape(4, 2, 8, 4096)).filter("is_root")
-    n = F.conv(F.hex(F.substring("framed", 4, 4)), 16, 10).cast("int")
-    size = lambda i: F.conv(F.hex(F.substring(F.col("framed"), 8 + i * 40 + 32, F.lit(8))), 16, 10).cast("long")
-    return made.select("file", F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), size), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"))
+    made = trees.file_nodes(chunks, trees.Shape(4, 2, 8, 4096)).filter("level = 0")
+
+    def run(batches):
+        for batch in batches:
+            nodes = [codec.decode(bytes(x)).entries for x in batch["framed"]]
+            yield batch[["file"]].assign(target=[e[-1][0] for e in nodes], n_bytes=[sum(n for _, n in e) for e in nodes])
+
+    found = made.mapInPandas(run, "file long, target binary, n_bytes long")
+    return found.join(chunks.select("file", "target", F.col("ordinal").cast("long").alias("last")), ["file", "target"]).select("file", "last", "n_bytes")
 
 
 @query()
@@ -414,12 +437,18 @@ def feed_windows(v: Views) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, count(DISTINCT k) AS n_sessions FROM g GROUP BY 1""")
 def feed_sessions(v: Views) -> DataFrame:
-    """ST07: session windows with a gap of twelve hours."""
-    ts = F.col("ts").cast("timestamp")
-    rows = v.table("events").withColumn("ts", ts).groupBy("user_id", F.session_window("ts", "12 hours")).count()
+    """ST07: session windows with a gap of twelve hours, of the event stream."""
+    rows = feed.run_once(v.spark, f"{v.dir}/events.parquet", lambda s: feed.sessions(s, "12 hours"), mode="complete")
     return rows.groupBy("user_id").agg(F.count("*").alias("n_sessions"))
 
 
+@query("""SELECT a.event_id AS first, b.event_id AS second FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR""")
+def feed_matches(v: Views) -> DataFrame:
+    """ST07: a stream-stream join of clicks and views of one user within six hours."""
+    rows = feed.run_once(v.spark, f"{v.dir}/events.parquet", lambda s: feed.matched(s.filter("event_type = 'click'"), s.filter("event_type = 'view'"), "user_id", "6 hours").select(F.col("a.event_id").alias("first"), F.col("b.event_id").alias("second")))
+    return rows
+
+
 @query()
 def cas_updates(v: Views) -> DataFrame:
     """V04 V05 V06 K08 ST05: creates, updates at right and stale generations, deletes."""
@@ -467,3 +496,175 @@ def rendered_sizes(v: Views) -> DataFrame:
     n = F.col("p_partkey") * F.col("p_size") * 37
     return v.table("part").select("p_partkey", "p_size", n.alias("n")).select("p_partkey", human_bytes("n").alias("shown"), F.greatest(F.col("p_size") - 25, F.lit(0)).alias("duration"))
 
+
+
+def _items(v: Views) -> DataFrame:
+    """Items of a key-value store: one for each event, partitioned by user."""
+    return v.table("events").select(F.col("user_id").alias("pk"), F.concat_ws("/", "event_type", "event_id").alias("sk"), F.col("event_type").alias("kind"), "value")
+
+
+@query("SELECT user_id AS pk, event_type || '/' || event_id AS sk, value FROM events WHERE event_type = 'error'")
+def kind_scan(v: Views) -> DataFrame:
+    """All items of a kind, whatever partition they are in."""
+    return items.kind_scan(_items(v), "error").select("pk", "sk", "value")
+
+
+@query("SELECT n_name AS key, n_nationkey FROM nation WHERE starts_with(n_name, 'I') OR starts_with(n_name, 'NATION_1') ORDER BY n_name")
+def global_keys(v: Views) -> DataFrame:
+    """Two prefixes of the space of names."""
+    names = v.table("nation").select(F.lit("names").alias("space"), F.col("n_name").alias("key"), "n_nationkey")
+    return items.global_scan(names, "names", "I").unionAll(items.global_scan(names, "names", "NATION_1")).select("key", "n_nationkey")
+
+
+@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'bad' ELSE sha256(CAST(doc_id AS VARCHAR)) END AS key FROM documents)
+SELECT key, CASE WHEN key = 'bad' THEN 'malformed' WHEN doc_id % 30 = 1 THEN 'misplaced' END AS fault FROM k WHERE doc_id % 20 <> 3""")
+def key_audit(v: Views) -> DataFrame:
+    """A twentieth are temporary files, some keys are no names, some lie elsewhere."""
+    n = F.col("doc_id")
+    key = F.when(n % 50 == 0, "bad").otherwise(F.sha2(n.cast("string"), 256))
+    place = F.when(n % 30 == 1, F.concat(F.lit("00/"), key)).otherwise(F.concat(F.substring(key, 1, 2), F.lit("/"), F.substring(key, 3, 2), F.lit("/"), key))
+    path = F.when(n % 20 == 3, F.concat(F.lit("aa/.tmp-"), key)).otherwise(place)
+    return items.key_audit(v.table("documents").select(key.alias("key"), path.alias("path"))).select("key", "fault")
+
+
+@query("SELECT upper(name) AS name, lower(substr(name, 1, 2)) AS shard, min(size) AS size FROM objects GROUP BY ALL", "objects")
+def sharded_objects(v: Views) -> DataFrame:
+    """Objects written by the first byte of their names and read back."""
+    d = v.table("documents").select(F.encode("text", "utf-8").alias("content"))
+    rows = store.chunks_of(d).select("name", "framed")
+    back = items.write_objects(rows, Scratch(v.spark, "objects").path("sharded"))
+    return back.select(F.hex("name").alias("name"), "shard", F.octet_length("framed").cast("long").alias("size"))
+
+
+@query("""WITH w AS (SELECT event_id // 2 AS txn, user_id % 3 AS pk, event_type || '-' || user_id AS sk FROM events),
+t AS (SELECT txn, count(DISTINCT pk) AS p, count(*) AS n, count(DISTINCT (pk, sk)) AS k FROM w GROUP BY txn),
+s AS (SELECT txn, min(pk) AS pk, min(sk) AS sk FROM w JOIN t USING (txn) WHERE p = 1 AND n = 1 GROUP BY txn),
+f AS (SELECT pk, sk, min(txn) AS first FROM s GROUP BY ALL)
+SELECT txn, CASE WHEN p > 1 OR n > k THEN 'refused' ELSE 'single' END AS verdict FROM t WHERE p > 1 OR n > k
+UNION ALL SELECT txn, 'committed' FROM t WHERE p = 1 AND n = k""")
+def transactions(v: Views) -> DataFrame:
+    """Two writes each; those over two partitions, or twice on a key, are refused, the others commit."""
+    writes = v.table("events").select(F.floor(F.col("event_id") / 2).alias("txn"), (F.col("user_id") % 3).alias("pk"), F.concat_ws("-", "event_type", "user_id").alias("sk"), F.lit("put").alias("op"), "value")
+    none = v.spark.createDataFrame([], "pk long, sk string")
+    return items.transact(none, writes).select("txn", "verdict")
+
+
+@query("SELECT n_name AS key, n_nationkey < 20 AS existed FROM nation")
+def global_deletes(v: Views) -> DataFrame:
+    """Names are deleted, a fifth of which never existed."""
+    n = v.table("nation").select(F.lit("names").alias("space"), F.col("n_name").alias("key"), "n_nationkey")
+    left, told = items.delete_global(n.filter("n_nationkey < 20"), n)
+    return told.join(left.select("key"), "key", "left_anti").select("key", "existed")
+
+
+@query("""WITH e AS (SELECT n_nationkey AS env, lower(n_name) AS name FROM nation),
+q AS (SELECT p_partkey AS seq, p_partkey % 30 AS env, CASE WHEN p_partkey % 7 = 0 THEN (SELECT lower(n_name) FROM nation WHERE n_nationkey = p_partkey % 25) WHEN p_partkey % 7 = 1 THEN 'same-' || p_partkey % 4 ELSE 'new-' || p_partkey END AS new_name FROM part),
+o AS (SELECT q.*, e.name AS old_name, h.name AS held FROM q LEFT JOIN e ON e.env = q.env LEFT JOIN e h ON h.name = q.new_name),
+m AS (SELECT env, min(seq) AS seq FROM o WHERE old_name IS NOT NULL AND held IS NULL GROUP BY env),
+w AS (SELECT new_name, min(seq) AS seq FROM o JOIN m USING (env, seq) GROUP BY new_name)
+SELECT seq, env, old_name, new_name, CASE WHEN old_name IS NULL THEN 'missing' WHEN old_name = new_name THEN 'same' WHEN seq IN (SELECT seq FROM w) THEN 'renamed' ELSE 'taken' END AS verdict FROM o""")
+def renames(v: Views) -> DataFrame:
+    """Renames to new, held, equal and contested names, some of missing environments."""
+    envs = v.table("nation").select(F.col("n_nationkey").cast("long").alias("env"), F.lower("n_name").alias("name"))
+    k = F.col("p_partkey")
+    asked = v.table("part").select(k.alias("seq"), (k % 30).alias("env"), (k % 25).alias("_n")).join(envs.select(F.col("env").alias("_n"), F.col("name").alias("_name")), "_n")
+    new = F.when(F.col("seq") % 7 == 0, F.col("_name")).when(F.col("seq") % 7 == 1, F.concat(F.lit("same-"), (F.col("seq") % 4).cast("string"))).otherwise(F.concat(F.lit("new-"), F.col("seq").cast("string")))
+    return items.rename(envs, asked.select("seq", "env", new.alias("new_name")))
+
+
+@query("""SELECT session, seq AS page, CASE WHEN session % 2 = 0 AND session * 100000 > 300000 THEN 1300000 ELSE session * 100000 END AS expires_at_us FROM (SELECT seq % 10 AS session, seq FROM objects WHERE seq % 9 = 0)""", "objects")
+def renewed_sessions(v: Views) -> DataFrame:
+    """Even sessions are renewed, those that have expired are not, and pages follow."""
+    pages = v.objects().filter("seq % 9 = 0").select((F.col("seq") % 10).alias("session"), F.col("seq").alias("page"), F.lit(0).alias("expires_at_us"))
+    _, out = items.renew_sessions(v.sessions(), pages, v.spark.range(0, 10, 2).select(F.col("id").alias("session")), 300_000, 1_000_000)
+    return out.select("session", "page", "expires_at_us")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY epoch_ms(ts) // 100000000, event_id) AS place, 26 AS digits FROM events")
+def sortable_ids(v: Views) -> DataFrame:
+    """Ids of 26 characters in the order of time, though many share one."""
+    rows = v.table("events").select("event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 100_000_000).alias("ms"))
+    ids = items.sortable_ids(rows, "ms", "event_id")
+    return numbered(ids, "place", "id").select("event_id", "place", F.length("id").alias("digits"))
+
+
+@query("""SELECT sha256(concat_ws(chr(10), 'version=1', 'kinds=1,2,3,4', 'entries=1,2,3', 'modes=644,755', 'largest=4194304,131072', 'chunks=262144,1048576,4194304', 'masks=fffffc0000000000,ffffc00000000000', 'gear=lodestack.cdc.gear.v1', 'split=lodestack.tree.split.v1', 'shape=448,64,2048,131072')) AS fingerprint""")
+def format_fingerprint(v: Views) -> DataFrame:
+    """A digest of every constant that names hang on."""
+    return v.spark.createDataFrame([(codec.format_fingerprint(),)], "fingerprint string")
+
+
+@query("""WITH l AS (SELECT event_id AS seq, props AS commit, CASE event_id % 5 WHEN 3 THEN 'release' WHEN 4 THEN 'invalidate' ELSE 'record' END AS event, CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'running' END AS status FROM events),
+m AS (SELECT commit, coalesce(max(seq) FILTER (event = 'invalidate'), -1) AS i, coalesce(max(seq) FILTER (event = 'release'), -1) AS r FROM l GROUP BY commit)
+SELECT commit, arg_max(status, seq) AS status, max(seq) AS seq FROM l JOIN m USING (commit) WHERE event = 'record' AND seq > i AND (status <> 'running' OR seq > r) GROUP BY commit""")
+def build_results(v: Views) -> DataFrame:
+    """Results recorded, released and invalidated; a release drops unfinished claims alone."""
+    e, n = v.table("events"), F.col("event_id")
+    event = F.when(n % 5 == 3, "release").when(n % 5 == 4, "invalidate").otherwise("record")
+    status = F.when(n % 3 == 0, "succeeded").when(n % 3 == 1, "failed").otherwise("running")
+    return queue.results(e.select(n.alias("seq"), F.col("props").alias("commit"), event.alias("event"), status.alias("status")))
+
+
+@query(""", q AS (SELECT env, op_sequence, "commit" || '-' || op_sequence % 3 AS c, enqueued_at, op_sequence % 3 AS attempts FROM queue),
+o AS (SELECT env, arg_min({'s': op_sequence, 'c': c, 't': enqueued_at, 'a': attempts}, op_sequence) AS e FROM q GROUP BY env ORDER BY min(e.t), env),
+z AS (SELECT env, e.s AS op_sequence, e.c AS c, e.a AS attempts FROM (SELECT env, arg_min({'s': op_sequence, 'c': c, 't': enqueued_at, 'a': attempts}, op_sequence) AS e FROM q GROUP BY env) ORDER BY e.t, env LIMIT 200),
+f AS (SELECT c, min({'env': env, 's': op_sequence}) AS f FROM z GROUP BY c),
+k AS (SELECT *, ascii(sha256(c)) % 4 AS known, ascii(substr(sha256(c), 2)) % 2 AS good FROM z JOIN f USING (c))
+SELECT env, op_sequence, c AS "commit", CASE WHEN known = 0 THEN 'cached' WHEN known = 1 OR f.env <> env OR f.s <> op_sequence THEN 'released' WHEN good = 0 THEN 'built' WHEN attempts + 1 >= 3 THEN 'dropped' ELSE 'retried' END AS action,
+CASE WHEN known > 1 AND f.env = env AND f.s = op_sequence THEN CASE WHEN good = 0 THEN 'succeeded' WHEN attempts + 1 >= 3 THEN 'failed' END END AS recorded,
+CASE WHEN known > 1 AND f.env = env AND f.s = op_sequence THEN attempts + 1 ELSE attempts END AS attempts FROM k""", "queue")
+def worker_turn(v: Views) -> DataFrame:
+    """What becomes of the 200 entries that workers lease (the limit is the feature)."""
+    q = v.queue()
+    q = q.select("env", "op_sequence", F.concat("commit", F.lit("-"), (F.col("op_sequence") % 3).cast("string")).alias("commit"), "enqueued_at", (F.col("op_sequence") % 3).alias("attempts"))
+    h = F.sha2("commit", 256)
+    commits = q.select("commit").distinct()
+    known = commits.select("commit", (F.ascii(h) % 4).alias("k")).filter("k < 2").select("commit", F.when(F.col("k") == 0, "succeeded").otherwise("running").alias("status"), F.lit(900).cast("long").alias("at_us"))
+    outcomes = commits.select("commit", F.when(F.ascii(F.substring(h, 2, 1)) % 2 == 0, "succeeded").otherwise("failed").alias("status"))
+    none = v.spark.createDataFrame([], "env long, expires_at_us long")
+    return queue.turn(q, none, known, outcomes, 1000, 200)
+
+
+@query("""SELECT env, sequence, ref, "before", "after" FROM (SELECT env, max(sequence) OVER (PARTITION BY env) + 1 AS sequence, ref, arg_max("after", sequence) OVER (PARTITION BY env, ref) AS "before", first_value("after") OVER (PARTITION BY env, ref ORDER BY sequence) AS "after", row_number() OVER (PARTITION BY env, ref ORDER BY sequence) AS k FROM oplog) WHERE k = 1 AND ref = 'click' AND "after" % 2 = 0""", "oplog")
+def reverts(v: Views) -> DataFrame:
+    """A ref goes back to its first commit, where that is a commit."""
+    log = v.oplog()
+    first = log.groupBy("env", "ref").agg(F.min_by("after", "sequence").alias("to")).filter("ref = 'click'")
+    return oplog.revert(log, v.table("events").filter("event_id % 2 = 0").select(F.col("event_id").alias("node")), first)
+
+
+@query("""WITH r AS (SELECT n_regionkey AS env, n_name AS ref, n_nationkey AS target FROM nation), d AS (SELECT env, target FROM r WHERE ref IN ('NATION_0', 'NATION_1', 'NATION_2', 'ALGERIA', 'FRANCE')),
+q AS (SELECT p_partkey % 6 AS env, 'branch-' || p_partkey AS ref, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS target, CASE WHEN p_partkey % 3 = 0 THEN 2 END AS ttl FROM part)
+SELECT env, ref, target, CAST(1 AS BIGINT) AS generation, 1000 + ttl * 86400000000 AS expires_at_us FROM q WHERE target IS NOT NULL""")
+def branches(v: Views) -> DataFrame:
+    """Branches at a target, with a time to live; those without one need a default ref."""
+    refs = v.table("nation").select(F.col("n_regionkey").cast("long").alias("env"), F.col("n_name").alias("ref"), F.col("n_nationkey").cast("long").alias("target"))
+    k = F.col("p_partkey")
+    asked = v.table("part").select((k % 6).alias("env"), F.concat(F.lit("branch-"), k.cast("string")).alias("ref"), F.when(k % 2 == 0, k).alias("target"), F.when(k % 3 == 0, F.lit(2)).alias("ttl_days"))
+    return oplog.create_branches(refs, asked, "no such ref", 1000)
+
+
+@query("""WITH u AS (SELECT event_id AS seq, user_id AS env, CASE WHEN event_id % 3 = 0 THEN 'archived' WHEN event_id % 3 = 1 THEN 'active' END AS state, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM events)
+SELECT env, arg_max(state, seq) FILTER (state IS NOT NULL) AS state, arg_max(kind, seq) FILTER (kind IS NOT NULL) AS kind FROM u GROUP BY env""")
+def env_labels(v: Views) -> DataFrame:
+    """The last state and the last whole map of labels."""
+    n = F.col("event_id")
+    rows = v.table("events").select(n.alias("seq"), F.col("user_id").alias("env"), F.when(n % 3 == 0, "archived").when(n % 3 == 1, "active").alias("state"), F.when(n % 2 == 0, F.create_map(F.lit("kind"), F.col("event_type"))).alias("labels"))
+    return oplog.labels_now(rows).select("env", "state", F.element_at("labels", "kind").alias("kind"))
+
+
+@query("SELECT event_type AS metric, CAST(sum(event_id % 4) AS DOUBLE) AS value FROM events GROUP BY 1")
+def counters(v: Views) -> DataFrame:
+    """Counters are sums of increments; negative ones do not count."""
+    rows = v.table("events").select(F.col("event_type").alias("metric"), (F.col("event_id") % 4).alias("by"))
+    return metrics.counters(rows.unionAll(rows.withColumn("by", F.lit(-1).cast("long"))))
+
+
+@query("""SELECT 'queue_depth' AS metric, '# HELP lodestack_queue_depth Builds that wait.' || chr(10) || '# TYPE lodestack_queue_depth gauge' || chr(10) || '# investigate when above 1000' || chr(10) || 'lodestack_queue_depth ' || count(*) AS text FROM orders
+UNION ALL SELECT 'tombstones', '# HELP lodestack_tombstones Swept names that must not be deduplicated against yet.' || chr(10) || '# TYPE lodestack_tombstones gauge' || chr(10) || 'lodestack_tombstones ' || count(*) FROM documents
+UNION ALL SELECT event_type, '# TYPE lodestack_' || event_type || ' counter' || chr(10) || 'lodestack_' || event_type || ' ' || count(*) FROM events GROUP BY event_type""")
+def described_metrics(v: Views) -> DataFrame:
+    """HELP, TYPE and threshold lines of gauges and counters."""
+    gauges = v.table("orders").agg(F.count("*").cast("double").alias("value")).select(F.lit("queue_depth").alias("metric"), "value").unionAll(v.table("documents").agg(F.count("*").cast("double").alias("value")).select(F.lit("tombstones"), "value"))
+    counted = metrics.counters(v.table("events").select(F.col("event_type").alias("metric"), F.lit(1).alias("by")))
+    return metrics.render(metrics.described(gauges).unionAll(metrics.described(counted, "counter")))

@@ -12,7 +12,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -39,6 +40,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Hadoop's names for file systems that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_file_system(uri: str):
+    """pyarrow's file system and path of a URI of the shared store; a scheme
+    that only Hadoop knows is an error."""
+    from pyarrow.fs import FileSystem
+
+    scheme, sep, rest = uri.partition(":")
+    return FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{sep}{rest}")
+
+
 class Scratch:
     """Tables of one operator call: written once, read many times.
 
@@ -74,3 +88,16 @@ class Scratch:
             delete(self.spark, self.base)
         except Exception:  # the session has ended; the folder's owner clears it
             pass
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place in a total order, from 1, in ``name``: sorted
+    into ranges, numbered in each, and moved by what the ranges before hold.
+    No task sees more than its range."""
+    scratch = Scratch(rows.sparkSession, "numbered")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut = scratch.table(rows.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = cut.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return cut.withColumn("_inside", inside).join(F.broadcast(sizes), "_b").withColumn(name, (F.col("_inside") + F.col("_skip")).cast("long")).drop("_b", "_inside", "_skip")

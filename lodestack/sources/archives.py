@@ -6,40 +6,59 @@ import gzip
 import io
 import os
 import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.images import ARCHIVE, parse_index
+from lodestack.operators.images import ARCHIVE
 
 
-def _files(path: str) -> list[tuple[str, bytes]]:
+#: Bytes of content in one batch of rows.
+BATCH_BYTES = 16 << 20
+
+
+def _files(path: str) -> Iterator[tuple[str, bytes]]:
+    """Files of a folder or a tar, one at a time."""
     if os.path.isdir(path):
-        out = []
-        for folder, _, names in os.walk(path):
-            for name in names:
+        for folder, below, names in os.walk(path):
+            below.sort()
+            for name in sorted(names):
                 full = os.path.join(folder, name)
                 with open(full, "rb") as f:
-                    out.append((os.path.relpath(full, path), f.read()))
-        return sorted(out)
+                    yield os.path.relpath(full, path), f.read()
+        return
     with tarfile.open(path) as tar:
-        return sorted((m.name.removeprefix("./"), tar.extractfile(m).read()) for m in tar.getmembers() if m.isfile())
+        for member in tar:
+            if member.isfile():
+                yield member.name.removeprefix("./"), tar.extractfile(member).read()
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(archive, path, content) of every file of tars or folders, a task for each archive."""
-    rows = spark.createDataFrame([(p,) for p in paths], "archive string").repartition(max(1, len(paths)))
+    """(archive, path, content) of every file of tars or folders, a task for
+    each archive (S10). A task holds a batch of BATCH_BYTES or one larger file,
+    never a whole archive."""
+    rows = spark.createDataFrame([(p,) for p in paths], "archive string").repartition(max(1, len(paths)), "archive")
 
-    def run(batches):
-        import pandas as pd
+    def made(archive: str, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], ["archive", "path", "content"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive in batch["archive"]:
-                found = _files(archive)
-                yield pd.DataFrame({"archive": archive, "path": [p for p, _ in found], "content": [c for _, c in found]})
+            for archive in batch.column(0).to_pylist():
+                held, size = [], 0
+                for file in _files(archive):
+                    held.append(file)
+                    size += len(file[1])
+                    if size >= BATCH_BYTES:
+                        yield made(archive, held)
+                        held, size = [], 0
+                if held:
+                    yield made(archive, held)
 
-    return rows.mapInPandas(run, "archive string, path string, content binary")
+    return rows.mapInArrow(run, "archive string, path string, content binary")
 
 
 def layouts(files: DataFrame) -> DataFrame:
@@ -49,10 +68,10 @@ def layouts(files: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """(archive, digest, text) of an OCI layout's small documents, and the index
-    as digest 'index' (S11)."""
+    """(archive, digest, text) of an OCI layout's JSON documents, told by their
+    first character that is no blank, and the index as digest 'index' (S11)."""
     text = F.decode(F.col("content"), "utf-8")
-    blobs = files.filter(F.col("path").startswith("blobs/sha256/") & (F.octet_length("content") < 4_000_000) & (F.hex(F.substring("content", 1, 1)) == "7B"))
+    blobs = files.filter(F.col("path").startswith("blobs/sha256/") & F.hex(F.substring("content", 1, 1024)).rlike("^(20|09|0A|0D)*7B"))
     return blobs.select("archive", F.concat(F.lit("sha256:"), F.substring_index("path", "/", -1)).alias("digest"), text.alias("text")).unionAll(files.filter("path = 'index.json'").select("archive", F.lit("index"), text))
 
 
@@ -62,11 +81,6 @@ def docker_images(files: DataFrame) -> DataFrame:
     return listed.select("archive", "image", F.col("m.Config").alias("config"), F.col("m.RepoTags").alias("tags"), F.posexplode("m.Layers").alias("ordinal", "layer")).withColumn("gzipped", F.col("layer").endswith(".gz"))
 
 
-def index_entries(docs: DataFrame) -> DataFrame:
-    """(archive, digest, child, media_type) of every index among documents."""
-    return docs.select("archive", "digest", F.explode(parse_index("text")["manifests"]).alias("m")).select("archive", "digest", F.col("m.digest").alias("child"), F.col("m.mediaType").alias("media_type"))
-
-
 def decompress(content: bytes, compression: str) -> bytes:
     """A layer's plain bytes: 'gzip', 'zstd' or 'none' (N07)."""
     if compression == "gzip":

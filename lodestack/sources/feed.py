@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from lodestack.plans.storage import Scratch
+from lodestack.plans.storage import Scratch, arrow_file_system
 from lodestack.streaming.feed import sharded
 
 SCHEMA = "shard long, sequence long, env long, event_type string, ts timestamp_ntz, value double, props string"
@@ -38,19 +38,37 @@ class Span(InputPartition):
 
 
 def _shard(path: str, shard: int) -> pads.Dataset:
-    from pyarrow.fs import FileSystem
-
-    store, folder = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    store, folder = arrow_file_system(path) if "://" in path or path.startswith("file:") else (None, path)
     return pads.dataset(f"{folder}/shard={shard}", filesystem=store, format="parquet", exclude_invalid_files=True)
 
 
+def _bounds(fragment) -> list[tuple[int, int]]:
+    """(least, most) sequence of each row group, from the file's footer."""
+    place = fragment.metadata.schema.names.index("sequence")
+    found = [fragment.metadata.row_group(g).column(place).statistics for g in range(fragment.metadata.num_row_groups)]
+    return [(x.min, x.max) for x in found]
+
+
 def _read(path: str, span: Span) -> Iterator[pa.RecordBatch]:
+    """Rows in sequence order, by row groups: those that overlap are sorted
+    together, so memory holds one row group where files follow each other."""
     want = pads.field("sequence") > span.start
     if span.end is not None:
         want &= pads.field("sequence") <= span.end
-    table = _shard(path, span.shard).to_table(columns=_COLUMNS, filter=want).sort_by("sequence")
-    table = table.add_column(0, "shard", pa.array([span.shard] * len(table), pa.int64()))
-    yield from table.cast(pa.schema([("shard", pa.int64()), ("sequence", pa.int64()), ("env", pa.int64()), ("event_type", pa.string()), ("ts", pa.timestamp("us")), ("value", pa.float64()), ("props", pa.string())])).to_batches()
+    groups = []
+    for fragment in _shard(path, span.shard).get_fragments():
+        for g, (least, most) in enumerate(_bounds(fragment)):
+            if most > span.start and (span.end is None or least <= span.end):
+                groups.append((least, most, fragment, g))
+    groups.sort(key=lambda x: x[:2])
+    kinds = pa.schema([("shard", pa.int64()), ("sequence", pa.int64()), ("env", pa.int64()), ("event_type", pa.string()), ("ts", pa.timestamp("us")), ("value", pa.float64()), ("props", pa.string())])
+    while groups:
+        last, n = groups[0][1], 1
+        while n < len(groups) and groups[n][0] <= last:
+            last, n = max(last, groups[n][1]), n + 1
+        table = pa.concat_tables(f.subset(row_group_ids=[g]).to_table(columns=_COLUMNS, filter=want) for _, _, f, g in groups[:n]).sort_by("sequence")
+        groups = groups[n:]
+        yield from table.add_column(0, "shard", pa.array([span.shard] * len(table), pa.int64())).cast(kinds).to_batches()
 
 
 class _Batch(DataSourceReader):
@@ -67,6 +85,7 @@ class _Batch(DataSourceReader):
 class _Stream(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.shards = options["path"], int(options.get("shards", "8"))
+        self._newest: dict[str, int] = {}
 
     def initialOffset(self):
         return {str(k): -1 for k in range(self.shards)}
@@ -74,8 +93,13 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self):
         out = {}
         for k in range(self.shards):
-            newest = [f.metadata.row_group(g).column(f.metadata.schema.names.index("sequence")).statistics.max for f in _shard(self.path, k).get_fragments() for g in range(f.metadata.num_row_groups)]
-            out[str(k)] = max(newest, default=-1)
+            newest = -1
+            for f in _shard(self.path, k).get_fragments():
+                # Files never change: a footer is opened once, not in every batch.
+                if f.path not in self._newest:
+                    self._newest[f.path] = max((most for _, most in _bounds(f)), default=-1)
+                newest = max(newest, self._newest[f.path])
+            out[str(k)] = newest
         return out
 
     def partitions(self, start, end):

@@ -12,20 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names that a scan passes over.
+from lodestack.plans.storage import Scratch
+
+#: Files whose content one batch of rows holds.
+READ_FILES = 256
+#: Names that a scan passes over (fixed values).
 EXCLUDED = frozenset({".git", ".jj", "__pycache__", ".DS_Store"})
 REGULAR, EXECUTABLE = 0o644, 0o755
 
 
-def entries(root: str, excluded: frozenset[str] = EXCLUDED) -> Iterator[tuple[str, str, int, int]]:
+def entries(root: str, excluded: frozenset[str] = EXCLUDED, below: str = "", deep: bool = True) -> Iterator[tuple[str, str, int, int]]:
     """(path, kind, mode, size) of what lies below a folder, each folder's
     children in the order of their encoded names (S01, S02). A file's mode
-    keeps the owner's execute bit alone; sockets and devices are errors."""
-    todo = [""]
+    keeps the owner's execute bit alone; sockets and devices are errors.
+    ``below`` begins further down; not ``deep`` lists that folder alone."""
+    todo = [below]
     while todo:
         folder = todo.pop()
         found = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: os.fsencode(e.name))
-        below = []
+        more = []
         for e in found:
             path = f"{folder}/{e.name}" if folder else e.name
             if e.name in excluded:
@@ -33,34 +38,51 @@ def entries(root: str, excluded: frozenset[str] = EXCLUDED) -> Iterator[tuple[st
             if e.is_symlink():
                 yield path, "link", 0, len(os.fsencode(os.readlink(e.path)))
             elif e.is_dir():
-                below.append(path)
+                more.append(path)
                 yield path, "directory", 0, 0
             elif e.is_file():
                 yield path, "file", EXECUTABLE if e.stat().st_mode & stat.S_IXUSR else REGULAR, e.stat().st_size
             else:
                 raise ValueError(f"{path} is neither file, folder nor link")
-        todo += reversed(below)
+        todo += reversed(more) if deep else ()
 
 
 def scan(spark: SparkSession, root: str, excluded: frozenset[str] = EXCLUDED, slices: int | None = None) -> DataFrame:
-    """(path, kind, mode, size, content): metadata is listed on the driver,
-    content is read by the tasks from the folder, which they must share."""
-    rows = spark.createDataFrame(list(entries(root, excluded)), "path string, kind string, mode int, size long")
-    rows = rows.repartition(slices or spark.sparkContext.defaultParallelism, "path")
+    """(path, kind, mode, size, content) of what lies below a folder, which the
+    tasks must share: level by level, each folder is listed by a task, and
+    content is read by the tasks too. The driver sees no list of files."""
+    scratch = Scratch(spark, "scan")
+    parts = slices or spark.sparkContext.defaultParallelism
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = list(entries(root, excluded, folder, deep=False))
+                columns = list(zip(*found)) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["path", "kind", "mode", "size"])
+
+    step, rows = spark.createDataFrame([("",)], "path string"), None
+    while rows is None or not step.isEmpty():
+        level = scratch.table(step.mapInArrow(listed, "path string, kind string, mode int, size long"), "level")
+        rows = level if rows is None else rows.unionAll(level)
+        step = level.filter("kind = 'directory'").select("path").repartition(parts, "path")
+    rows = rows.repartition(parts, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = []
-            for path, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                full = os.path.join(root, path)
-                if kind == "link":
-                    content.append(os.fsencode(os.readlink(full)))
-                elif kind == "file":
-                    with open(full, "rb") as f:
-                        content.append(f.read())
-                else:
-                    content.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], [*batch.schema.names, "content"])
+            for at in range(0, batch.num_rows, READ_FILES):
+                part = batch.slice(at, READ_FILES)
+                content = []
+                for path, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    full = os.path.join(root, path)
+                    if kind == "link":
+                        content.append(os.fsencode(os.readlink(full)))
+                    elif kind == "file":
+                        with open(full, "rb") as f:
+                            content.append(f.read())
+                    else:
+                        content.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(content, pa.binary())], [*part.schema.names, "content"])
 
     return rows.mapInArrow(run, "path string, kind string, mode int, size long, content binary")
 

@@ -18,6 +18,24 @@ def _git(repository: str, *arguments: str, text: bytes | None = None) -> bytes:
     return subprocess.run(["git", "-C", repository, *arguments], input=text, capture_output=True, check=True).stdout
 
 
+#: Objects asked of one git process, and bytes of content in one batch of rows.
+BATCH, BATCH_BYTES = 1000, 16 << 20
+
+
+def objects(repository: str, names: list[str]) -> Iterator[bytes]:
+    """The contents of objects in order, BATCH of them from one process."""
+    for i in range(0, len(names), BATCH):
+        out, at = _git(repository, "cat-file", "--batch", text="\n".join(names[i : i + BATCH]).encode() + b"\n"), 0
+        for name in names[i : i + BATCH]:
+            end = out.index(b"\n", at)
+            head = out[at:end].split()
+            if len(head) != 3:
+                raise ValueError(f"object {name} is missing")
+            at = end + 1 + int(head[2])
+            yield out[end + 1 : at]
+            at += 1
+
+
 def history(repository: str, ref: str = "HEAD", limit: int | None = None) -> list[str]:
     """Commits of a ref, oldest first; with a limit the newest ones."""
     newest = _git(repository, "rev-list", "--topo-order", *([f"--max-count={limit}"] if limit else []), ref)
@@ -32,7 +50,7 @@ def commits(spark: SparkSession, repository: str, ref: str = "HEAD", limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [_git(repository, "cat-file", "commit", x) for x in batch.column(1).to_pylist()]
+            raw = list(objects(repository, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["position", "sha", "raw"])
 
     return parse_commits(rows.mapInArrow(run, "position int, sha string, raw binary"))
@@ -54,9 +72,14 @@ def parse_commits(raw: DataFrame) -> DataFrame:
     return rows.drop("_p").join(up, "sha", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
 
 
-def tree_entries(spark: SparkSession, repository: str, trees: list[str]) -> DataFrame:
+def tree_entries(spark: SparkSession, repository: str, trees: list[str], known: DataFrame | None = None) -> DataFrame:
     """(tree, path, mode, type, sha, content) of whole trees, each different tree
-    once; what cannot be imported has ``unsupported`` set (S07, S08)."""
+    once; what cannot be imported has ``unsupported`` set (S07, S08).
+
+    Trees are listed first; then each different blob is read once, whatever
+    number of trees holds it, and none that ``known`` (sha) names: its content
+    is null. Rows come in the order of path bytes, which is not git's.
+    """
     rows = spark.createDataFrame([(x,) for x in dict.fromkeys(trees)], "tree string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +88,31 @@ def tree_entries(spark: SparkSession, repository: str, trees: list[str]) -> Data
                 out = []
                 for line in _git(repository, "ls-tree", "-r", "-z", "--full-tree", tree).split(b"\0")[:-1]:
                     meta, _, path = line.partition(b"\t")
-                    mode, kind, sha = meta.decode().split()
-                    out.append((tree, path, mode, kind, sha, _git(repository, "cat-file", "blob", sha) if kind == "blob" else None))
-                # Git sorts folders as if a slash ended them; the order here is by bytes.
-                out.sort(key=lambda x: x[1])
-                types = [pa.string(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["tree", "path", "mode", "type", "sha", "content"])
-
-    found = rows.mapInArrow(run, "tree string, path binary, mode string, type string, sha string, content binary")
-    return classify(found)
+                    out.append((tree, path, *meta.decode().split()))
+                types = [pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["tree", "path", "mode", "type", "sha"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([c for _, c in rows], pa.binary())], ["_sha", "content"])
+
+        for batch in batches:
+            names, rows, size = batch.column(0).to_pylist(), [], 0
+            for name, content in zip(names, objects(repository, names)):
+                rows.append((name, content))
+                size += len(content)
+                if size >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+    listed = rows.mapInArrow(run, "tree string, path binary, mode string, type string, sha string")
+    wanted = listed.filter("type = 'blob'").select("sha").distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("sha"), "sha", "left_anti")
+    found = wanted.mapInArrow(contents, "_sha string, content binary")
+    return classify(listed.join(found, F.col("sha") == F.col("_sha"), "left").drop("_sha")).orderBy("tree", "path")
 
 
 def classify(entries: DataFrame) -> DataFrame:

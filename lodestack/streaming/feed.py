@@ -112,21 +112,32 @@ def folded_updates(updates: DataFrame) -> DataFrame:
 
 def leases(claims: DataFrame, held_ms: int) -> DataFrame:
     """A stream of claims (env, worker) with who gets each environment: a claim
-    holds for ``held_ms`` of processing time, then the next one takes over (ST05, ST06)."""
+    holds for ``held_ms`` of processing time, then the next one takes over; its
+    holder's claims renew it (ST05, ST06)."""
     schema = "env long, worker string, granted boolean"
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        now = state.getCurrentProcessingTimeMs()
+        # A claim may come before the timer of a lease that has run out.
+        holder, until = state.get if state.exists else (None, 0)
         rows = pd.concat(list(groups))
         granted = []
         for worker in rows["worker"]:
-            free = not state.exists
-            if free:
-                state.update((worker,))
-                state.setTimeoutDuration(held_ms)
-            granted.append(free or state.get[0] == worker)
+            fine = until <= now or holder == worker
+            if fine:
+                holder, until = worker, now + held_ms
+            granted.append(fine)
+        state.update((holder, int(until)))
+        state.setTimeoutDuration(max(1, int(until - now)))
         yield pd.DataFrame({"env": key[0], "worker": rows["worker"].values, "granted": granted})
 
-    return claims.groupBy("env").applyInPandasWithState(run, schema, "worker string", "append", "ProcessingTimeTimeout")
+    return claims.groupBy("env").applyInPandasWithState(run, schema, "worker string, until long", "append", "ProcessingTimeTimeout")
+
+
+def sessions(events: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
+    """Session windows of each user's events: one ends after ``gap`` without any (ST07)."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
