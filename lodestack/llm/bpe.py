@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.llm.rows import spread
+
 #: Pre-tokens resolved at once; bounds what one chunk holds.
 CHUNK = 400_000
 #: Merged pre-tokens that a worker remembers; more are merged anew.
@@ -246,6 +248,6 @@ def round_trip(docs: DataFrame, vocabulary, pattern: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     vocabulary = load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return round_trip(docs, vocabulary, public_tokenizers.PATTERN)

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.rows import spread
+
 UNKNOWN = "und"
 #: Bounds of the fit: texts of each language, characters of one, bytes of a dictionary.
 FIT_ROWS = 400
@@ -123,7 +125,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     model = fit(docs.filter(~held_out))  # a null doc_id teaches nothing
     return identify(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.rows import ROW, packed, spread_join, unpacked
+from lodestack.llm.rows import ROW, packed, spread, spread_join, unpacked
 from lodestack.plans.storage import Scratch
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -194,7 +194,7 @@ def clean(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return judge(docs).select("doc_id", *STATS, "kept")
 
 

@@ -38,3 +38,12 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, ho
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as read, dealt over all cores if it is small and lies in fewer
+    files than there are cores: one file of one row group is read by one task,
+    which would then do all the work. Larger tables stay as their files are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores << 27 and len(rows.inputFiles()) < cores else rows

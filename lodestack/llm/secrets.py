@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.rows import ROW, packed, unpacked
+from lodestack.llm.rows import ROW, packed, spread, unpacked
 from lodestack.plans.storage import Scratch
 
 _KEY = "A-Za-z0-9_+/-"
@@ -203,6 +203,6 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     found = scan(docs)
     return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
 from lodestack.llm.similar import deduplicate, near_duplicates  # noqa: F401
+from lodestack.llm.rows import spread
 from lodestack.plans.storage import Scratch
 
 DISTANCE = 3
@@ -198,6 +199,6 @@ def near_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = near_fingerprints(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
