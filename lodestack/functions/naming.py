@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 
 CHUNK, BLOB, TREE, COMMIT = 1, 2, 3, 4
 VERSION = 1
+#: What names of environments and refs may look like.
 ENV_NAME = r"^[a-z0-9][a-z0-9._-]{0,63}/[a-z0-9][a-z0-9._-]{0,127}$"
 REF_NAME = r"^refs/(heads|tags)/[A-Za-z0-9][A-Za-z0-9._/-]{0,255}$"
+#: Media types of layers that are kept elsewhere and refused.
+FOREIGN_LAYERS = (
+    "application/vnd.docker.image.rootfs.foreign.diff.tar.gzip",
+    "application/vnd.oci.image.layer.nondistributable.v1.tar",
+    "application/vnd.oci.image.layer.nondistributable.v1.tar+gzip",
+    "application/vnd.oci.image.layer.nondistributable.v1.tar+zstd",
+)
 OBJECT_NAME = r"^s2:[0-9a-f]{64}$"
 
 
@@ -169,5 +177,4 @@ def fnmatch_regex(glob: Column | str) -> Column:
 def media_compression(media_type: Column | str) -> Column:
     """gzip, zstd or none of a layer's media type; 'foreign' or 'unknown' where it is refused."""
     m = _col(media_type)
-    foreign = m.rlike(r"^application/vnd\.(docker\.image\.rootfs\.foreign\.diff\.tar\.gzip|oci\.image\.layer\.nondistributable\.v1\.tar(\+gzip|\+zstd)?)$")
-    return F.when(foreign, "foreign").when(m.rlike(r"(\+gzip|\.tar\.gzip)$"), "gzip").when(m.endswith("+zstd"), "zstd").when(m.rlike(r"[.+]tar$"), "none").otherwise("unknown")
+    return F.when(m.isin(*FOREIGN_LAYERS), "foreign").when(m.rlike(r"(\+gzip|\.tar\.gzip)$"), "gzip").when(m.endswith("+zstd"), "zstd").when(m.rlike(r"[.+]tar$"), "none").otherwise("unknown")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,17 @@ DESCRIPTOR = "struct<mediaType:string,digest:string,size:bigint,platform:struct<
 INDEX = f"struct<schemaVersion:int,mediaType:string,manifests:array<{DESCRIPTOR}>,annotations:map<string,string>>"
 MANIFEST = f"struct<schemaVersion:int,mediaType:string,config:{DESCRIPTOR},layers:array<{DESCRIPTOR}>>"
 ARCHIVE = "array<struct<Config:string,Layers:array<string>,RepoTags:array<string>>>"
-#: Media types of documents that list or describe an image.
+#: Media types of documents that list or describe an image, and of layers.
 INDEX_TYPES = ("application/vnd.oci.image.index.v1+json", "application/vnd.docker.distribution.manifest.list.v2+json")
 MANIFEST_TYPES = ("application/vnd.oci.image.manifest.v1+json", "application/vnd.docker.distribution.manifest.v2+json")
 LAYER_TAR = "application/vnd.oci.image.layer.v1.tar"
+LAYER_TYPES = (
+    "application/vnd.oci.image.layer.v1.tar",
+    "application/vnd.oci.image.layer.v1.tar+gzip",
+    "application/vnd.oci.image.layer.v1.tar+zstd",
+    "application/vnd.docker.image.rootfs.diff.tar",
+    "application/vnd.docker.image.rootfs.diff.tar.gzip",
+)
 NESTED = 4
 NAME = "org.opencontainers.image.ref.name"
 
@@ -137,5 +146,6 @@ def ingest_summary(rows: DataFrame, known: DataFrame) -> DataFrame:
 def rewrite_media_types(documents: DataFrame) -> DataFrame:
     """Manifests (image, manifest) with layers described as plain tars; what is
     not a layer's media type keeps its bytes and its place (N05)."""
-    pattern = r'("mediaType"\s*:\s*")application/vnd\.(?:oci\.image\.layer\.v1\.tar(?:\+gzip|\+zstd)?|docker\.image\.rootfs\.diff\.tar(?:\.gzip)?)(")'
+    types = "|".join(re.escape(x) for x in sorted(LAYER_TYPES, key=len, reverse=True))
+    pattern = rf'("mediaType"\s*:\s*")(?:{types})(")'
     return documents.withColumn("manifest", F.regexp_replace("manifest", pattern, rf"$1{LAYER_TAR}$2"))
