@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
 import re
+import zlib
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,3 +155,38 @@ def rewrite_media_types(documents: DataFrame) -> DataFrame:
     types = "|".join(re.escape(x) for x in sorted(LAYER_TYPES, key=len, reverse=True))
     pattern = rf'("mediaType"\s*:\s*")(?:{types})(")'
     return documents.withColumn("manifest", F.regexp_replace("manifest", pattern, rf"$1{LAYER_TAR}$2"))
+
+
+def store_layers(layers: DataFrame, known: DataFrame) -> DataFrame:
+    """Layers (layer, compression, diff_id, content) with ``outcome`` and the
+    plain bytes' ``size`` (N04, N07, N08): 'reused' where ``known`` (diff_id)
+    holds the plain bytes, which are not unpacked then; else 'stored', or
+    'corrupt' where they do not match the diff_id or cannot be unpacked."""
+    kind = layers.schema["layer"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out, sizes = [], []
+            for compression, diff_id, content in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                try:
+                    plain = decompress(content, compression)
+                    fine = f"sha256:{hashlib.sha256(plain).hexdigest()}" == diff_id
+                except (OSError, EOFError, zlib.error, zstandard.ZstdError):
+                    fine, plain = False, b""
+                out.append("stored" if fine else "corrupt")
+                sizes.append(len(plain) if fine else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["layer", "outcome", "size"])
+
+    held = known.select("diff_id").distinct()
+    reused = layers.join(held, "diff_id", "left_semi").select("layer", F.lit("reused").alias("outcome"), F.lit(None).cast("long").alias("size"))
+    fresh = layers.join(held, "diff_id", "left_anti").select("layer", "compression", "diff_id", "content")
+    return reused.unionAll(fresh.mapInArrow(run, f"layer {kind}, outcome string, size long"))
+
+
+def decompress(content: bytes, compression: str) -> bytes:
+    """A layer's plain bytes: 'gzip', 'zstd' or 'none' (N07)."""
+    if compression == "gzip":
+        return gzip.decompress(content)
+    if compression == "zstd":
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)).read()
+    return content

@@ -119,6 +119,13 @@ def fork(refs: DataFrame, env: object, new_env: object) -> DataFrame:
     return refs.filter(F.col("env") == F.lit(env)).select(F.lit(new_env).alias("env"), "ref", "target", F.lit(1).cast("long").alias("generation"))
 
 
+def outbox(log: DataFrame) -> DataFrame:
+    """The events of log rows (env, sequence, ref, before, after): each mutation
+    says itself what happened, so none is emitted without its row or twice (K12)."""
+    kind = F.when(F.col("before").isNull(), "ref.created").when(F.col("after").isNull(), "ref.deleted").otherwise("ref.updated")
+    return log.filter("before is not null or after is not null").select("env", "sequence", "ref", kind.alias("event_type"), F.concat_ws(":", "env", "sequence").alias("event_key"))
+
+
 def revert(log: DataFrame, commits: DataFrame, requests: DataFrame) -> DataFrame:
     """Log rows of requests (env, ref, to) that set a ref back to an earlier
     commit (V16): numbered after the environment's last, ``before`` is what the

@@ -104,3 +104,17 @@ def chunks_of(rows: DataFrame) -> DataFrame:
     """Rows (content) as framed chunks (name, framed, size)."""
     framed = rows.withColumn("framed", frame(1, "content"))
     return framed.withColumn("name", name_of("framed")).withColumn("size", F.octet_length("framed").cast("long"))
+
+
+def import_report(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """One row about an import of entries (commit, tree, blob, size): different
+    commits, trees and blobs, blobs that ``known`` (blob) holds, the bytes of the
+    source with every mention and those stored anew, and the share that was
+    saved of the source's bytes, 0 for none (A17, C26)."""
+    seen = known.select("blob").distinct().withColumn("_k", F.lit(True))
+    blobs = entries.groupBy("blob").agg(F.max("size").alias("size"), F.sum("size").alias("mentioned")).join(seen, "blob", "left")
+    stored = F.sum(F.when(F.col("_k").isNull(), F.col("size")).otherwise(0))
+    counts = entries.agg(F.countDistinct("commit").alias("commits"), F.countDistinct("tree").alias("trees"))
+    sums = blobs.agg(F.count("*").alias("blobs"), F.count("_k").alias("reused"), F.coalesce(F.sum("mentioned"), F.lit(0)).alias("source_bytes"), F.coalesce(stored, F.lit(0)).cast("long").alias("stored_bytes"))
+    one = counts.crossJoin(sums)  # a row each
+    return one.withColumn("dedup_ratio", F.round(ratio((F.col("source_bytes") - F.col("stored_bytes")).cast("double"), F.col("source_bytes")), 6))

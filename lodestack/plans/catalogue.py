@@ -166,7 +166,7 @@ def dedup_insert(v: Views) -> DataFrame:
 
 @query(_OFFERS + "SELECT lang, count(*) AS offered, CAST(sum(CAST(created AS INTEGER)) AS BIGINT) AS created, CAST(sum(size) AS BIGINT) AS bytes_offered, CAST(sum(CASE WHEN created THEN size ELSE 0 END) AS BIGINT) AS bytes_stored, round((sum(size) - sum(CASE WHEN created THEN size ELSE 0 END)) / CAST(sum(size) AS DOUBLE), 6) AS dedup_ratio FROM offers GROUP BY lang", "objects")
 def dedup_stats(v: Views) -> DataFrame:
-    """A01 A17 C25 C26."""
+    """A01 C25."""
     return store.tally(_inserted(v), "lang")
 
 
@@ -198,7 +198,7 @@ def corpus_total(v: Views) -> DataFrame:
  unnest([CAST(a AS DOUBLE), b, c, d, e, f, g, round(d / CAST(c AS DOUBLE), 6)]) AS value FROM (SELECT (SELECT count(*) FROM catalog) a, (SELECT sum(size) FROM catalog) b, (SELECT count(DISTINCT name) FROM keepset) c, (SELECT count(*) FROM keepset) d,
  (SELECT count(*) FROM nation) e, (SELECT count(*) FROM tombstones) f, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') g)""", "catalog keepset tombstones")
 def corpus_snapshot(v: Views) -> DataFrame:
-    """A06 A07 A08 A14."""
+    """A06 A07 A08."""
     return metrics.snapshot(v.catalog(), v.keepset(), v.envs(), v.tombstones(), v.queue().filter("status = 'running'"))
 
 
@@ -398,7 +398,7 @@ def range_read(v: Views) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, 350 AS next_cursor FROM part WHERE p_partkey > 300 AND p_partkey <= 350")
 def page_keyset(v: Views) -> DataFrame:
-    """A page is the feature."""
+    """A page is the feature."""
     return ranges.page(v.table("part").select("p_partkey", "p_name"), "p_partkey", 300, 50)
 
 
@@ -411,7 +411,7 @@ def prefix_scan(v: Views) -> DataFrame:
 
 @query('SELECT env, sequence, ref, "before", "after" FROM oplog', "oplog")
 def oplog_dense_seq(v: Views) -> DataFrame:
-    """V08 V07 K12."""
+    """V08 V07."""
     e = v.table("events").select(F.col("user_id").alias("env"), F.col("event_type").alias("ref"), F.col("event_id").alias("after"), "ts")
     return oplog.with_before(oplog.dense_sequence(e, "env", "ts", "after")).select("env", "sequence", "ref", "before", "after")
 
@@ -440,7 +440,7 @@ def ref_as_of(v: Views) -> DataFrame:
 @query("""SELECT env, sequence, ref, CASE WHEN "before" IS NULL THEN 'delete' ELSE 'update' END AS action, "before" AS target, CASE WHEN "before" IS NOT NULL THEN generation END AS expected_generation
 FROM oplog JOIN (SELECT env, ref, count(*) AS generation FROM oplog GROUP BY env, ref) USING (env, ref)""", "oplog")
 def undo_rows(v: Views) -> DataFrame:
-    """V10 V16."""
+    """V10."""
     log = v.oplog()
     return oplog.undo(log, oplog.refs(log))
 

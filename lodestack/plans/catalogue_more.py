@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def settled_builds(v: Views) -> DataFrame:
 w AS (SELECT *, min(done) OVER p AS d, max(at_us) OVER p AS l FROM r WINDOW p AS (PARTITION BY c ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT seq, c AS commit_id, CASE WHEN l IS NULL THEN 'build' WHEN d <= at_us THEN 'cached' WHEN at_us - l < 7200000000 THEN 'busy' ELSE 'takeover' END AS verdict FROM w""", "queue")
 def build_cache_hits(v: Views) -> DataFrame:
-    """B05 B06 B07."""
+    """B05."""
     rows = v.queue().select(F.col("op_sequence").alias("seq"), "commit", F.col("enqueued_at").alias("at_us"), F.when(F.col("status") == "succeeded", F.col("enqueued_at") + 3_600_000_000).alias("done_us"))
     return queue.claims(rows).withColumnRenamed("commit", "commit_id")
 
@@ -187,7 +188,7 @@ def manifest_layers(v: Views) -> DataFrame:
 
 @query(_LAYERS + ", k AS (SELECT DISTINCT 'diff:' || s_suppkey AS diff_id FROM supplier WHERE s_suppkey % 3 = 0), o AS (SELECT image, diff_id, count(*) AS n, sum(size) AS b FROM x WHERE image % 10 <> 0 GROUP BY ALL) SELECT image, CAST(sum(n) AS BIGINT) AS layers, CAST(sum(n - CASE WHEN diff_id IN (SELECT diff_id FROM k) THEN 0 ELSE 1 END) AS BIGINT) AS reused, CAST(sum(b) AS BIGINT) AS compressed_bytes FROM o GROUP BY image")
 def image_summary(v: Views) -> DataFrame:
-    """A19 N04."""
+    """What an ingest reports."""
     known = v.table("supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("diff:"), "s_suppkey").alias("diff_id"))
     return images.ingest_summary(images.layers(_images(v)).filter("error is null"), known)
 
@@ -477,13 +478,13 @@ def open_sessions(v: Views) -> DataFrame:
 
 @query("""SELECT 9999 AS env, ref, target, CAST(1 AS BIGINT) AS generation FROM (SELECT ref, arg_max("after", sequence) AS target FROM oplog WHERE env = 7 GROUP BY ref)""", "oplog")
 def fork_refs(v: Views) -> DataFrame:
-    """A fork moves no content."""
+    """A fork moves no content."""
     return oplog.fork(oplog.refs(v.oplog()), 7, 9999)
 
 
 @query("SELECT lower(n_name) AS name, min(n_nationkey) AS env FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT n_name, n_nationkey + 100 FROM nation) GROUP BY 1")
 def name_claims(v: Views) -> DataFrame:
-    """The first claim of a name wins."""
+    """The first claim of a name wins."""
     n = v.table("nation").select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("env"))
     return store.record(n.unionAll(n.withColumn("env", F.col("env") + 100)), "name", keep="env")
 
@@ -668,3 +669,40 @@ def described_metrics(v: Views) -> DataFrame:
     gauges = v.table("orders").agg(F.count("*").cast("double").alias("value")).select(F.lit("queue_depth").alias("metric"), "value").unionAll(v.table("documents").agg(F.count("*").cast("double").alias("value")).select(F.lit("tombstones"), "value"))
     counted = metrics.counters(v.table("events").select(F.col("event_type").alias("metric"), F.lit(1).alias("by")))
     return metrics.render(metrics.described(gauges).unionAll(metrics.described(counted, "counter")))
+
+
+@query("""SELECT env, sequence, ref, CASE WHEN "before" IS NULL THEN 'ref.created' ELSE 'ref.updated' END AS event_type, env || ':' || sequence AS event_key FROM oplog""", "oplog")
+def outbox_events(v: Views) -> DataFrame:
+    """The events that log rows stand for."""
+    return oplog.outbox(v.oplog())
+
+
+@query("""WITH e AS (SELECT doc_id % 40 AS c, lang || source AS tree, sha256(text) AS blob, CAST(strlen(text) AS BIGINT) AS size FROM documents), k AS (SELECT DISTINCT sha256(text) AS blob FROM documents WHERE doc_id % 3 = 0),
+b AS (SELECT blob, max(size) AS size, sum(size) AS m, blob IN (SELECT blob FROM k) AS held FROM e GROUP BY blob)
+SELECT (SELECT count(DISTINCT c) FROM e) AS commits, (SELECT count(DISTINCT tree) FROM e) AS trees, count(*) AS blobs, count(*) FILTER (held) AS reused, CAST(sum(m) AS BIGINT) AS source_bytes, CAST(coalesce(sum(size) FILTER (NOT held), 0) AS BIGINT) AS stored_bytes,
+round((sum(m) - coalesce(sum(size) FILTER (NOT held), 0)) / sum(m), 6) AS dedup_ratio FROM b""")
+def import_report(v: Views) -> DataFrame:
+    """Documents as the blobs of an import, a third of which is known."""
+    d, n = v.table("documents"), F.col("doc_id")
+    rows = d.select((n % 40).alias("commit"), F.concat("lang", "source").alias("tree"), F.sha2("text", 256).alias("blob"), F.octet_length("text").cast("long").alias("size"))
+    return store.import_report(rows, d.filter("doc_id % 3 = 0").select(F.sha2("text", 256).alias("blob")))
+
+
+@query("""WITH l AS (SELECT doc_id AS layer, sha256(text) AS h, CAST(strlen(text) AS BIGINT) AS n, doc_id % 10 = 7 AS bad FROM documents), k AS (SELECT DISTINCT h FROM l WHERE layer % 4 = 0)
+SELECT layer, CASE WHEN NOT bad AND h IN (SELECT h FROM k) THEN 'reused' WHEN bad THEN 'corrupt' ELSE 'stored' END AS outcome, CASE WHEN NOT bad AND h NOT IN (SELECT h FROM k) THEN n END AS size FROM l""")
+def stored_layers(v: Views) -> DataFrame:
+    """Layers packed in three ways, unpacked and checked; a quarter is known, a tenth does not match."""
+    import gzip
+
+    import zstandard
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series, how: pd.Series) -> pd.Series:
+        pack = {"gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress, "none": bytes}
+        return pd.Series([pack[h](t.encode()) for t, h in zip(text, how)])
+
+    d, n = v.table("documents"), F.col("doc_id")
+    how = F.element_at(F.array(F.lit("gzip"), F.lit("zstd"), F.lit("none")), (n % 3 + 1).cast("int"))
+    right = F.concat(F.lit("sha256:"), F.sha2("text", 256))
+    rows = d.select(n.alias("layer"), how.alias("compression"), F.when(n % 10 == 7, F.concat(F.lit("sha256:"), F.sha2(F.concat("text", F.lit("?")), 256))).otherwise(right).alias("diff_id"), packed("text", how).alias("content"))
+    return images.store_layers(rows, d.filter("doc_id % 4 = 0").select(right.alias("diff_id")))

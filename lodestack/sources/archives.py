@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import os
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.images import ARCHIVE
+from lodestack.operators.images import ARCHIVE, decompress  # noqa: F401
 
 
 #: Bytes of content in one batch of rows.
@@ -81,15 +78,6 @@ def docker_images(files: DataFrame) -> DataFrame:
     return listed.select("archive", "image", F.col("m.Config").alias("config"), F.col("m.RepoTags").alias("tags"), F.posexplode("m.Layers").alias("ordinal", "layer")).withColumn("gzipped", F.col("layer").endswith(".gz"))
 
 
-def decompress(content: bytes, compression: str) -> bytes:
-    """A layer's plain bytes: 'gzip', 'zstd' or 'none' (N07)."""
-    if compression == "gzip":
-        return gzip.decompress(content)
-    if compression == "zstd":
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)).read()
-    return content
-
-
 def digest_of(content: Column | str) -> Column:
     """The digest that names a blob."""
     return F.concat(F.lit("sha256:"), F.sha2(F.col(content) if isinstance(content, str) else content, 256))
