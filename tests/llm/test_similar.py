@@ -99,3 +99,16 @@ def test_one_block_by_hand():
     joined = {frozenset(x) for x in links}
     assert len(joined) == 2 and not any(14 in x for x in joined)
     assert similar.block_links(pa.table(columns | {"part": [1] * 5}), 0.8) == []
+
+
+def test_simhash_finds_pairs_that_share_no_band(spark):
+    """Pairs at 0.804 within three bits of 64, drawn so that no band of minima joins them."""
+    rows = []
+    for k, seed in enumerate((86597, 91205, 155549, 38977, 43171)):
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**6)}" for _ in range(50)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:12] + ["x"] + words[13:]))]
+    keys = [similar.describe(similar.shingles(text.encode()))[0] for _, text in rows]
+    assert all(jaccard(a, b) >= 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2])) and not any((a == b).any() for a, b in zip(keys[::2], keys[1::2]))
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
