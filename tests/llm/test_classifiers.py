@@ -157,3 +157,15 @@ def test_the_whole_text_counts(place):
     place = text.index(b" ", place)
     most = lambda t: model.saved(toxicity.windows(toxicity.words(t))).max()
     assert most(text[:place] + b" vile wretch scoundrel" + text[place:]) > most(text)
+
+
+def test_no_window_is_left_out():
+    """A clear text is compressed at its odd words too."""
+    texts, toxic = _corpus()
+    model = toxicity.train([t.encode() for t in texts], toxic)
+    seen = []
+    saved = model.saved
+    model.saved = lambda of: seen.extend(of) or saved(of)
+    clear = " ".join(f"calm{k} river{k}" for k in range(40)).encode()
+    assert model.score(clear) < 0.01
+    assert sorted(seen) == sorted(toxicity.windows(toxicity.words(clear)))
