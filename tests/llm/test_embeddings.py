@@ -92,3 +92,19 @@ def test_the_default_slack_finds_links_at_any_width(spark, width):
     rows = spark.createDataFrame(list(enumerate(both.tolist())), SCHEMA)
     got = embeddings.near_duplicates(rows, embeddings.CellPlan(cell_rows=24)).agg(F.sum("n_links")).first()[0]
     assert want >= 1200 and 0.99 * want <= got <= want
+
+
+def test_the_driver_gets_centres_and_no_sample(spark, monkeypatch):
+    """The sample of a fit may be hundreds of MB; a task holds it."""
+    got, to_arrow = [], type(spark.range(0)).toArrow
+
+    def watched(frame):
+        got.append(to_arrow(frame))
+        return got[-1]
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", watched)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist(), i * 7919, i) for i in range(3000)], "rep long, v array<double>, h1 long, h2 long")
+    centres = embeddings.fit_centres(rows, embeddings.CellPlan(cell_rows=100))
+    assert centres.shape[1] == 8 and 5 < len(centres) <= 30
+    assert sum(t.num_rows for t in got) <= 30
