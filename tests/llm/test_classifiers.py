@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 import regex
 import zstandard
@@ -169,3 +170,31 @@ def test_no_window_is_left_out():
     clear = " ".join(f"calm{k} river{k}" for k in range(40)).encode()
     assert model.score(clear) < 0.01
     assert sorted(seen) == sorted(toxicity.windows(toxicity.words(clear)))
+
+
+def test_what_is_remembered_equals_what_is_compressed(monkeypatch):
+    """Also when words and slots run out and what was held is forgotten."""
+    texts, toxic = _corpus()
+    model = toxicity.train([t.encode() for t in texts], toxic)
+    monkeypatch.setattr(toxicity, "_WORDS", 150)
+    monkeypatch.setattr(toxicity, "_PIECE", 16)
+    for text in [*texts[:12], *texts[:12], "", "one", "you vile you vile you vile"]:
+        of = toxicity.windows(toxicity.words(text.encode()))
+        want = toxicity.lengths(list(of), toxicity.compressor(model.ordinary)) - toxicity.lengths(list(of), toxicity.compressor(model.toxic))
+        assert model.saved(of).tolist() == want.tolist()
+
+
+def test_a_million_other_windows_are_not_forgotten(monkeypatch):
+    """Windows of frequent words come back after many others."""
+    asked = []
+    for name in ("lengths", "_sizes"):
+        monkeypatch.setattr(toxicity, name, lambda of, by: asked.append(len(of)) or np.zeros(len(of), np.int64), raising=False)
+    model = toxicity.ToxicityModel(b"a" * 16, b"b" * 16, np.zeros((2, 16)))
+    rng = np.random.default_rng(2)
+    texts = [[b"w%d" % k for k in rng.integers(0, 3000, 20_000)] for _ in range(70)]
+    for of in texts:
+        model.saved(toxicity.windows(of))
+    asked.clear()
+    for of in texts[:5]:
+        model.saved(toxicity.windows(of))
+    assert sum(asked) / 2 < 0.2 * 100_000
