@@ -198,3 +198,43 @@ def test_a_million_other_windows_are_not_forgotten(monkeypatch):
     for of in texts[:5]:
         model.saved(toxicity.windows(of))
     assert sum(asked) / 2 < 0.2 * 100_000
+
+
+def test_many_different_words_do_not_make_all_forgotten(monkeypatch):
+    """Frequent windows are still held after 1.2 million words seen once."""
+    asked = []
+    monkeypatch.setattr(toxicity, "_sizes", lambda of, by: asked.append(len(of)) or np.zeros(len(of), np.int64))
+    model = toxicity.ToxicityModel(b"a" * 16, b"b" * 16, np.zeros((2, 16)))
+    frequent = [b"w%d" % k for k in np.random.default_rng(2).integers(0, 3000, 20_000)]
+    model.saved(toxicity.windows(frequent))
+    for i in range(60):
+        model.saved(toxicity.windows([b"x%d" % k for k in range(i * 20_000, (i + 1) * 20_000)]))
+    asked.clear()
+    model.saved(toxicity.windows(frequent))
+    assert sum(asked) / 2 < 0.2 * 20_000
+
+
+def test_texts_together_score_as_each_alone(monkeypatch):
+    """What texts share is compressed once; short, empty and null ones keep their places."""
+    texts, toxic = _corpus()
+    model = toxicity.train([t.encode() for t in texts], toxic)
+    asked = [None, b"", b"one", *(t.encode() for t in texts[:9]), b"you vile", b"", *(t.encode() for t in texts[:9])]
+    want = [toxicity.ToxicityModel(model.toxic, model.ordinary, model.weights).score(t) for t in asked[:4]] + [model.score(t) for t in asked[4:]]
+    for least in (1, 150, 1 << 17):
+        monkeypatch.setattr(toxicity, "_WORDS", least)
+        assert toxicity.ToxicityModel(model.toxic, model.ordinary, model.weights).scores(iter(asked)) == want
+    assert model.scores(iter([])) == []
+    seen, sizes = [], toxicity._sizes
+    monkeypatch.setattr(toxicity, "_sizes", lambda of, by: seen.append(len(of)) or sizes(of, by))
+    toxicity.ToxicityModel(model.toxic, model.ordinary, model.weights).scores(t.encode() for t in texts[:9] * 3)
+    assert seen == [len({p for t in texts[:9] for p in zip(toxicity.words(t.encode()), toxicity.words(t.encode())[1:])})] * 2
+
+
+def test_few_slots_give_the_same_savings(monkeypatch):
+    """Windows that drive each other out of their slots are compressed again."""
+    monkeypatch.setattr(toxicity, "_sizes", lambda of, by: np.array([zlib.crc32(of[i].tobytes()) % 900 * (by == "ordinary") for i in range(len(of))]))
+    known = toxicity._Known(17)
+    for seed in (0, 1, 0):
+        of = [b"w%d" % k for k in np.random.default_rng(seed).integers(0, 3000, 150_000)]
+        got = known.saved(of, np.arange(len(of) - 1), ("toxic", "ordinary"))
+        assert got.tolist() == [zlib.crc32(b"   %b   %b   " % p + b"\x02" * 64) % 900 for p in zip(of, of[1:])]
